@@ -16,6 +16,7 @@ from pyspark.sql import Column, functions as F
 from reckonry.functions import fixed_values as fv
 
 NON_ASCII = r"[^\x00-\x7F]"
+GROUP_MARK = "\u0001"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,8 +40,19 @@ def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "​", ""), r"(?U)[\s ]+", " "))
 
 
+UNTIDY = r"[^\x20-\x7E]|^ | $|  "
+
+
 def normalize_text(c: Column) -> Column:
-    return tidy(fold_compat(c))
+    """Compatibility fold, then whitespace; one test lets values already clean pass through."""
+    text = c.cast("string")
+    return F.when(text.rlike(UNTIDY), tidy(fold_compat(text))).otherwise(text)
+
+
+def groups_of(c: Column, pattern: str, n: int) -> Column:
+    """All capture groups of a whole-value pattern from one match; null when it does not match."""
+    marked = F.regexp_replace(c, pattern, GROUP_MARK.join(f"${i}" for i in range(1, n + 1)))
+    return bind(F.split(marked, GROUP_MARK), lambda parts: F.when(F.size(parts) == n, parts))
 
 
 def token(c: Column) -> Column:
@@ -108,61 +120,53 @@ def _ungroup(digits: Column) -> Column:
     )
 
 
+_PLAIN_NUMBER = r"^-?[0-9]+(?:\.[0-9]+)?$"
+
+
 def number_struct(normalised: Column) -> Column:
     """struct<value double, styles array<string>> from normalised text; null when not a number."""
+    no_styles = F.array().cast("array<string>")
 
-    def read(t: Column) -> Column:
-        def part(i: int) -> Column:
-            return F.regexp_extract(t, _NUMBER_SHAPE, i)
+    def result(value: Column, styles: Column) -> Column:
+        return F.struct(value.alias("value"), styles.alias("styles"))
 
-        def from_body(b: Column) -> Column:
-            plain = F.trim(F.regexp_replace(b, _SYMBOLS, ""))
+    def outer(t: Column) -> Column:
+        def from_shape(s: Column) -> Column:
+            opened, body, closed = s[0] != "", s[1], s[2] != ""
+            suffix = F.lower(s[3])
 
-            def signed(p: Column) -> Column:
-                def sign(i: int) -> Column:
-                    return F.regexp_extract(p, _SIGNED_BODY, i)
+            def from_body(p: Column) -> Column:
+                minus_before, minus_after, percent = p[1] != "", p[3] != "", p[4] != ""
 
                 def finish(g: Column) -> Column:
-                    pct = sign(5) != ""
-                    suffix = F.lower(part(4))
                     negatives = (
-                        suffix.isin("cr", "crdr", "credit").cast("int")
-                        + (part(1) != "").cast("int")
-                        + (sign(2) != "").cast("int")
-                        + (sign(4) != "").cast("int")
+                        suffix.isin("cr", "crdr", "credit").cast("int") + opened.cast("int")
+                        + minus_before.cast("int") + minus_after.cast("int")
                     )
-                    text = F.when(pct, F.concat(g["text"], F.lit("E-2"))).otherwise(g["text"])
-                    magnitude = text.try_cast("double")
+                    text = F.when(percent, F.concat(g["text"], F.lit("E-2"))).otherwise(g["text"])
                     styles = F.array_compact(F.array(
                         F.when(suffix != "", F.lit("credit_suffix")),
-                        F.when(part(1) != "", F.lit("parentheses")),
-                        F.when(pct, F.lit("percent")),
-                        F.when(b.rlike(_SYMBOLS), F.lit("currency")),
+                        F.when(opened, F.lit("parentheses")),
+                        F.when(percent, F.lit("percent")),
+                        F.when(body.rlike(_SYMBOLS), F.lit("currency")),
                         F.when(g["grouped"], F.lit("thousands")),
                     ))
-                    return F.when(
-                        magnitude.isNotNull(),
-                        F.struct(
-                            F.when(negatives % 2 == 1, -magnitude).otherwise(magnitude).alias("value"),
-                            styles.alias("styles"),
-                        ),
-                    )
+                    return bind(text.try_cast("double"), lambda v: F.when(
+                        v.isNotNull(), result(F.when(negatives % 2 == 1, -v).otherwise(v), styles)))
 
-                bad_percent = (sign(5) != "") & ~b.rlike(r"%\s*$")
-                two_minus = (sign(2) != "") & (sign(4) != "")
-                return F.when(
-                    p.rlike(_SIGNED_BODY) & ~bad_percent & ~two_minus,
-                    bind(_ungroup(F.trim(sign(3))), finish),
-                )
+                bad = (percent & ~body.rlike(r"%\s*$")) | (minus_before & minus_after)
+                return F.when(p.isNotNull() & ~bad, bind(_ungroup(F.trim(p[2])), finish))
 
-            return bind(plain, signed)
+            bare = F.trim(F.regexp_replace(body, _SYMBOLS, ""))
+            return F.when(s.isNotNull() & (opened == closed), bind(groups_of(bare, _SIGNED_BODY, 5), from_body))
 
-        balanced = (part(1) != "") == (part(3) != "")
         return F.when(
-            t.rlike(_NUMBER_SHAPE) & balanced & ~_is_null_word(t), bind(part(2), from_body)
+            t.rlike(_PLAIN_NUMBER), result(t.try_cast("double"), no_styles)
+        ).otherwise(
+            F.when(t.rlike("[0-9]") & ~_is_null_word(t), bind(groups_of(t, _NUMBER_SHAPE, 4), from_shape))
         )
 
-    return bind(normalised, read)
+    return bind(normalised, outer)
 
 
 def parse_number(c: Column) -> Column:
@@ -195,39 +199,32 @@ def _date_struct(year: Column, month: Column, day: Column, ambiguous: Column, or
 def date_struct(normalised: Column, prefer: Column | str = "dmy") -> Column:
     """struct<value, ambiguous, order> from normalised text; null when not a date."""
     prefer = F.lit(prefer) if isinstance(prefer, str) else prefer
+    months = F.array(*[F.lit(m) for m in fv.MONTHS])
 
-    def read(t: Column) -> Column:
-        def named(i: int) -> Column:
-            return F.regexp_extract(t, _NAMED_DATE, i)
-
-        def ymd(i: int) -> Column:
-            return F.regexp_extract(t, _YMD, i)
+    def named(p: Column) -> Column:
+        month = F.array_position(months, F.lower(F.substring(p[1], 1, 3))).cast("string")
+        return F.when(p.isNotNull(), _date_struct(_full_year(p[2]), month, p[0], F.lit(False), F.lit("dmy")))
 
-        def dmy(i: int) -> Column:
-            return F.regexp_extract(t, _DMY, i)
+    def year_first(p: Column) -> Column:
+        return F.when(p.isNotNull(), _date_struct(p[0], p[2], p[3], F.lit(False), F.lit("ymd")))
 
-        month_no = F.array_position(
-            F.array(*[F.lit(m) for m in fv.MONTHS]), F.lower(F.substring(named(2), 1, 3))
-        ).cast("string")
-        first, second = dmy(1).try_cast("int"), dmy(2).try_cast("int")
+    def year_last(p: Column) -> Column:
+        first, second = p[0].try_cast("int"), p[1].try_cast("int")
         month_first = (first <= 12) & ((second > 12) | (prefer == "mdy"))
-        either = (first <= 12) & (second <= 12)
-        return (
-            F.when(
-                t.rlike(_NAMED_DATE),
-                _date_struct(_full_year(named(3)), month_no, named(1), F.lit(False), F.lit("dmy")),
-            )
-            .when(t.rlike(_YMD), _date_struct(ymd(1), ymd(3), ymd(4), F.lit(False), F.lit("ymd")))
-            .when(
-                t.rlike(_DMY),
-                _date_struct(
-                    F.when(F.length(dmy(3)) == 2, _full_year(dmy(3))).otherwise(dmy(3)),
-                    F.when(month_first, dmy(1)).otherwise(dmy(2)),
-                    F.when(month_first, dmy(2)).otherwise(dmy(1)),
-                    either,
-                    F.when(month_first, F.lit("mdy")).otherwise(F.lit("dmy")),
-                ),
-            )
+        return F.when(p.isNotNull(), _date_struct(
+            F.when(F.length(p[2]) == 2, _full_year(p[2])).otherwise(p[2]),
+            F.when(month_first, p[0]).otherwise(p[1]),
+            F.when(month_first, p[1]).otherwise(p[0]),
+            (first <= 12) & (second <= 12),
+            F.when(month_first, F.lit("mdy")).otherwise(F.lit("dmy")),
+        ))
+
+    def read(t: Column) -> Column:
+        return F.when(
+            t.rlike(r"^\d"),
+            F.when(t.rlike("[A-Za-z]"), bind(groups_of(t, _NAMED_DATE, 3), named))
+            .when(t.rlike(r"^\d{4}[-/]"), bind(groups_of(t, _YMD, 4), year_first))
+            .otherwise(bind(groups_of(t, _DMY, 3), year_last)),
         )
 
     without_clock = F.regexp_replace(normalised, r"^(\S+)\s+\d{1,2}:\d{2}.*$", "$1")

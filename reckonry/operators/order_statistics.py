@@ -22,9 +22,10 @@ def _position(n: Column, q: float, exclusive: bool) -> Column:
     return F.greatest(F.lit(0.0), F.least(raw, (n - 1).cast("double")))
 
 
-def _narrow(data: DataFrame, spans: DataFrame, groups: list[str]) -> DataFrame:
-    """One round: spans(groups, span, lo, hi, rank) -> the bin inside each span holding its rank."""
+def _narrow(data: DataFrame, spans: DataFrame, groups: list[str], few: bool) -> DataFrame:
+    """One round: spans(groups, target, lo, hi, rank) -> the bin inside each span holding its rank."""
     ranges = spans.select(*groups, "lo", "hi").distinct()
+    ranges = F.broadcast(ranges) if few else ranges
     inside = join_null_safe(data, ranges, groups, "inner").where(F.col("v").between(F.col("lo"), F.col("hi")))
     width = F.col("hi") - F.col("lo")
     bin_no = F.when(width <= 0, 0).otherwise(
@@ -45,10 +46,16 @@ def _narrow(data: DataFrame, spans: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], exclusive: bool = False
+    df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], exclusive: bool = False,
+    few_groups: bool = False,
 ) -> DataFrame:
-    """One row per group: the groups, ``n`` and one interpolated quantile per wanted name."""
+    """One row per group: the groups, ``n`` and one interpolated quantile per wanted name.
+
+    ``few_groups`` says the group count has a fixed bound (columns of a table,
+    say), so the value ranges can go to the data instead of the reverse.
+    """
     keys = groups or ["__all"]
+    few = few_groups or not groups
     base = df if groups else df.withColumn("__all", F.lit(0))
     data = base.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("v"), F.lit(1).cast("long").alias("w")
@@ -65,9 +72,10 @@ def exact_quantiles(
             F.struct(F.lit(f"{name}/high").alias("target"), F.ceil(at).alias("rank")),
         ]
     spans = spans_all.select(*keys, "lo", "hi", F.inline(F.array(*targets)))
-    spans = _narrow(data, _narrow(data, spans, keys), keys)
+    spans = _narrow(data, _narrow(data, spans, keys, few), keys, few)
 
     narrow = spans.select(*keys, "lo", "hi").distinct()
+    narrow = F.broadcast(narrow) if few else narrow
     left = join_null_safe(data, narrow, keys, "inner").where(F.col("v").between(F.col("lo"), F.col("hi")))
     values = left.groupBy(*keys, "lo", "hi", "v").agg(F.sum("w").alias("cnt"))
     order = Window.partitionBy(*keys, "lo", "hi").orderBy("v")

@@ -117,7 +117,7 @@ def _single_row(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def _medians(df: DataFrame, numbers: list[str]) -> DataFrame:
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in numbers])
     long = wide.unpivot([], numbers, "column", "value")
-    return exact_quantiles(long, ["column"], "value", {"median": 0.5}).select(
+    return exact_quantiles(long, ["column"], "value", {"median": 0.5}, few_groups=True).select(
         "column", F.round("median", 4).alias("median"))
 
 
@@ -342,7 +342,7 @@ def date_coverage(df: DataFrame, date: str) -> DataFrame:
 def outlier_bounds(df: DataFrame, money: list[str]) -> DataFrame:
     """Per column: n, exclusive quartiles and the fence three ranges out."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in money]).unpivot([], money, "column", "value")
-    q = exact_quantiles(long, ["column"], "value", {"q1": 0.25, "q3": 0.75}, exclusive=True)
+    q = exact_quantiles(long, ["column"], "value", {"q1": 0.25, "q3": 0.75}, exclusive=True, few_groups=True)
     spread = F.col("q3") - F.col("q1")
     return q.where((F.col("n") >= 8) & (spread != 0)).withColumns({
         "low": F.col("q1") - 3 * spread, "high": F.col("q3") + 3 * spread})
