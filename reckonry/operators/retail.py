@@ -116,7 +116,7 @@ def build_periods(
         first, last = (period_start(F.lit(d.isoformat()).cast("date"), grain, week_start) for d in window)
         low, high = F.least(low, first), F.greatest(high, last)
     span = found.agg(low.alias("low"), high.alias("high"))
-    every = span.where("low is not null").select(F.explode(F.sequence("low", "high", F.expr(_STEP[grain]))).cast("date").alias("period_start"))
+    every = span.where("low is not null").select(F.explode(F.sequence("low", "high", F.expr(_STEP[grain]))).alias("period_start"))
     filled = every.join(found, "period_start", "left")
     zero = F.lit(0).cast("decimal(38,10)")
     filled = filled.select(

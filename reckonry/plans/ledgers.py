@@ -210,7 +210,7 @@ def ledger(t: Tables):
         F.col("l_shipdate").cast("date").alias("occurred_on"),
         F.when(back, "revenue").when(F.col("l_returnflag") == "A", "cogs").otherwise("expense").alias("kind"),
         F.when(back, "sales").when(F.col("l_returnflag") == "A", "purchases").otherwise(F.when(F.col("l_linestatus") == "O", "other_expense").otherwise("transport")).alias("category"),
-        F.when(back, -price).otherwise(price).alias("amount"), F.when(F.col("l_linenumber") == 7, "SOS").otherwise("USD").alias("currency"),
+        F.when(back, -price).otherwise(price).alias("amount"), F.when(F.col("l_linenumber") == 7, "KWD").otherwise("USD").alias("currency"),
         F.col("p_brand").alias("account"), F.lit("").alias("counterparty"), F.col("p_name").alias("product"),
         F.when(F.col("l_linestatus") == "O", "unmatched").otherwise("matched").alias("classified_by"),
         F.concat(F.lit("l:"), F.xxhash64(*t.lineitem.columns).cast("string")).alias("source_ref"), F.col("l_quantity").cast("decimal(18,4)").alias("quantity"))
@@ -219,7 +219,7 @@ def ledger(t: Tables):
 
 def rates(t: Tables):
     """One rate per currency, held as a table."""
-    return t.region.where("r_regionkey = 0").select(F.lit("SOS").alias("currency"), F.lit(570).cast("decimal(18,6)").alias("rate"))
+    return t.region.where("r_regionkey = 0").select(F.lit("KWD").alias("currency"), F.lit(0.25).cast("decimal(18,6)").alias("rate"))
 
 
 def base_ledger(t: Tables):
@@ -227,8 +227,8 @@ def base_ledger(t: Tables):
 
 
 @query("E9", """
-    select case when l_linenumber = 7 then 'SOS' else 'USD' end as currency, count(*) as n,
-           round(cast(sum(cast(round(case when l_linenumber = 7 then l_extendedprice / 570 else l_extendedprice end, 6) as decimal(28,6))) as double), 2) as amount
+    select case when l_linenumber = 7 then 'KWD' else 'USD' end as currency, count(*) as n,
+           round(cast(sum(cast(round(case when l_linenumber = 7 then l_extendedprice / 0.25 else l_extendedprice end, 6) as decimal(28,6))) as double), 2) as amount
     from lineitem group by 1""")
 def ledger_in_base_currency(t: Tables):
     lines = base_ledger(t).where("source_ref like 'l:%'")

@@ -16,7 +16,7 @@ _LEDGER = """
       union all
       select cast(l_shipdate as date), case l_returnflag when 'R' then 'revenue' when 'A' then 'cogs' else 'expense' end,
              case l_returnflag when 'R' then 'sales' when 'A' then 'purchases' else case when l_linestatus = 'O' then 'other_expense' else 'transport' end end,
-             case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end / case when l_linenumber = 7 then 570 else 1 end,
+             case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end / case when l_linenumber = 7 then 0.25 else 1 end,
              case when l_linestatus = 'O' then 'unmatched' else 'matched' end, p_brand, '', p_name, l_quantity
       from lineitem join part on l_partkey = p_partkey)"""
 _FIGURES = """
@@ -195,14 +195,14 @@ def insight_margin(t: Tables):
 
 
 @query("F14", _LEDGER + f""",
-    c as (select {_start('yearly')} as s, kind, category, sum(amount) as a from g where d < date '1997-04-01' group by 1, 2, 3),
+    c as (select {_start('yearly')} as s, kind, category, sum(amount) as a from g where d between date '1995-10-01' and date '1996-12-31' group by 1, 2, 3),
     x as (select max(s) as y from c), n as (select category, a from c, x where s = y and kind <> 'revenue'),
     b as (select category, a from c where s = (select max(s) from c, x where s < y)),
     j as (select category, n.a as now, coalesce(b.a, 0) as was from n left join b using (category))
     select case when was > 0 then 'expense_spike' else 'new_expense' end as code, category, round(was, 2) as previous, round(now, 2) as current from j
     where abs(now - was) >= 50 and ((was > 0 and (now - was) / was >= 0.4) or (was = 0 and now >= 50))""")
 def insight_expenses(t: Tables):
-    cube = P.daily_cube(base_ledger(t).where("occurred_on < date '1997-04-01'"))
+    cube = P.daily_cube(base_ledger(t).where("occurred_on between date '1995-10-01' and date '1996-12-31'"))
     pair = P.last_two(P.build_periods(cube, "yearly"))
     found = P.expense_insights(P.category_shares(cube, "yearly"), pair)
     return found.select("code", F.get_json_object("values", "$.category").alias("category"),
@@ -232,10 +232,12 @@ def insight_refunds_uncategorised(t: Tables):
     return a.unionByName(P.uncategorised_insight(total).select("code", F.get_json_object("values", "$.share").cast("double").alias("share")))
 
 
-@query("F18", _periods_cte("yearly") + _PAIR + """
+@query("F18", _periods_cte("yearly").replace("from lineitem join part on l_partkey = p_partkey)", "from lineitem join part on l_partkey = p_partkey), h as (select * from g where isodow(d) < 6)").replace("as s from g)", "as s from h)") + _PAIR + """
     select 'quiet_days' as code, days - trading_days as silent_days, days from c where days > 7 and trading_days > 0 and days - trading_days >= greatest(3, floor(days / 4))""")
 def insight_quiet_days(t: Tables):
-    pair = P.last_two(P.build_periods(P.daily_cube(base_ledger(t)), "yearly"))
+    """A shop that shuts at weekends."""
+    weekdays = base_ledger(t).where(F.weekday("occurred_on") < 5)
+    pair = P.last_two(P.build_periods(P.daily_cube(weekdays), "yearly"))
     return P.quiet_insight(pair, "yearly").select("code", *[F.get_json_object("values", f"$.{c}").cast("int").alias(c) for c in ("silent_days", "days")])
 
 
