@@ -364,4 +364,4 @@ class Workbooks:
                 wanted = wanted.where(F.col(name) == value)
         wanted = wanted.select(*SHEET)
         one = self.columns.join(wanted.orderBy(*SHEET).limit(1), SHEET).orderBy("position").collect()
-        return build_table(self.rows.join(wanted, SHEET, "left_semi"), one, keep_sheet=signature is not None)
+        return stage(build_table(self.rows.join(wanted, SHEET, "left_semi"), one, keep_sheet=signature is not None), "table")

@@ -12,6 +12,7 @@ from reckonry.functions.scalars import entity_key, token
 from reckonry.operators.clean import Cleaned, apply_operations
 from reckonry.operators.profile import business_columns
 from reckonry.operators.similar import closest_spelling
+from reckonry.plans.staging import stage
 from reckonry.plans.sums import cents
 
 DEVIATIONS = (
@@ -228,7 +229,7 @@ def replay(
         if inline is not None:
             known = inline if isinstance(inline, DataFrame) else (
                 spark.createDataFrame(list(inline.items()), "value string, canonical string") if inline else None)
-        resolved = resolve_values(df, column, vocabulary, known, money)
+        resolved = stage(resolve_values(df, column, vocabulary, known, money), "resolved")  # read three times below
         found.append(value_deviations(resolved, column))
         if table:
             fresh = resolved.where("outcome = 'vocabulary'").select(F.col("key").alias("source_key"))
