@@ -8,7 +8,7 @@ from reckonry.plans.catalog import Tables, query
 
 
 def customer_sheets(t: Tables):
-    """Title, blank row, header on row 4, orders, blank, total, footnotes - per customer."""
+    """Title, blank row, header on row 4, orders, blank, total, footnote - per customer."""
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     price = F.format_number("o_totalprice", 2)
@@ -27,7 +27,7 @@ def customer_sheets(t: Tables):
         row(F.lit(1), text(F.col("c_name"), *none)), row(F.lit(2), text("Order export", *none)), row(F.lit(3), text(None, *none)),
         row(F.lit(4), text("Date", "Order No", "Priority", "Net Sales", "Status")), row(n + 5, text("", *none)),
         row(n + 6, text("TOTAL", None, None, F.format_number("total", 2), None)), row(n + 7, text(None, *none)),
-        row(n + 8, text("* Prices exclude delivery.", *none)), row(n + 9, text("Not audited.", *none)))
+        row(n + 8, text("* Prices exclude delivery and any goods sent back later.", *none)))
     around = frame.select(F.concat(F.lit("customer-"), F.col("o_custkey")).alias("file"), F.lit("Orders").alias("sheet"), F.inline(rows))
     return data.unionByName(around)
 
@@ -47,7 +47,7 @@ def sheet_header_scores(t: Tables):
 
 @query("P6 P7 P8", f"""
     select kind, cast(sum(c) as bigint) as n from (
-      select unnest(['header', 'above_header', 'subtotal', 'footnote', 'data', 'blank']) as kind, unnest([1, 2, 1, 2, n, 3]) as c from {_N}) group by 1""")
+      select unnest(['header', 'above_header', 'subtotal', 'footnote', 'data', 'blank']) as kind, unnest([1, 2, 1, 1, n, 3]) as c from {_N}) group by 1""")
 def sheet_row_kinds(t: Tables):
     cells = customer_sheets(t)
     return G.classify_rows(cells, G.find_headers(cells)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

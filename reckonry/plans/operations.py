@@ -119,7 +119,7 @@ def turns(t: Tables):
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), (F.col("conv_id") % 5).cast("string").alias("workspace_id"), F.col("text").alias("question"),
         F.lit("seen").alias("answer"), F.when(F.col("turn") % 3 == 0, "done").when(F.col("turn") % 3 == 1, "pending").otherwise("failed").alias("status"),
         day.cast("timestamp").alias("created_at"), F.when(F.col("conv_id") % 9 == 0, F.lit("2026-08-31").cast("timestamp")).alias("deleted_at"))
-    again = base.withColumns({"request_id": F.concat("request_id", F.lit("b")), "question": F.concat(F.lit("  "), F.upper("question"), F.lit(" ?!"))})
+    again = base.withColumns({"request_id": F.concat("request_id", F.lit("b")), "question": F.concat(F.lit("  "), "question", F.lit(" ?!"))})
     return base.unionByName(again)
 
 
@@ -128,7 +128,7 @@ _TURNS = f"""
     with b as (select conv_id || '-' || turn as request_id, cast(conv_id % 5 as varchar) as workspace_id, text as question, 'seen' as answer,
                  case turn % 3 when 0 then 'done' when 1 then 'pending' else 'failed' end as status, date '2026-08-31' - cast(conv_id % 60 as integer) as created_at, conv_id % 9 = 0 as gone
                from conversations where role = 'user'),
-         u as (select * from b union all select request_id || 'b', workspace_id, '  ' || upper(question) || ' ?!', answer, status, created_at, gone from b),
+         u as (select * from b union all select request_id || 'b', workspace_id, '  ' || question || ' ?!', answer, status, created_at, gone from b),
          t as (select *, {_SIG} as signature from u)"""
 
 
