@@ -53,9 +53,9 @@ def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     return joined.withColumn("cells", F.when(F.col("spans").isNull(), F.col("cells")).otherwise(F.transform(padded, filled))).select(*cells.columns)
 
 
-def explode_cells(prepared: DataFrame) -> DataFrame:
-    return prepared.select(*SHEET, "source_row", F.posexplode(F.arrays_zip("norm", "kinds")).alias("col", "c")).select(
-        *SHEET, "source_row", "col", F.col("c.norm").alias("text"), F.coalesce("c.kinds", F.lit("s")).alias("kind"))
+def explode_cells(prepared: DataFrame, *keep: str) -> DataFrame:
+    return prepared.select(*SHEET, "source_row", *keep, F.posexplode(F.arrays_zip("norm", "kinds")).alias("col", "c")).select(
+        *SHEET, "source_row", *keep, "col", F.col("c.norm").alias("text"), F.coalesce("c.kinds", F.lit("s")).alias("kind"))
 
 
 def read_values(cell: DataFrame, prefer: Column | str = "dmy") -> DataFrame:
@@ -91,8 +91,8 @@ def header_scores(cells: DataFrame) -> DataFrame:
     lengths = cells.groupBy(*SHEET).agg(F.max("source_row").alias("last_row"))
     head = prepare(cells.where(F.col("source_row") <= HEAD_ROWS))
     filled = F.size(F.filter("norm", lambda v: ~_null_word(v)))
-    head = head.withColumn("filled", filled)
-    cell = classify_cells(read_values(explode_cells(head)))
+    cell = classify_cells(read_values(explode_cells(head.withColumn("filled", filled), "filled")))
+    cell = stage(cell.drop("number", "date"), "head-cells")  # a sheet's first rows, read several times below
 
     own = cell.where(F.col("source_row") <= fv.HEADER_SEARCH_ROWS).select(
         *SHEET, F.col("source_row").alias("row"), "col", "populated", "header_like", F.col("shape").alias("own_shape"), F.lower("text").alias("label"))
@@ -104,7 +104,8 @@ def header_scores(cells: DataFrame) -> DataFrame:
         return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     here = F.col("source_row").cast("int")
-    rows = head.select(*SHEET, "source_row", "filled", F.explode(candidates(here)).alias("row"))
+    heights = cell.groupBy(*SHEET, "source_row").agg(F.max("filled").alias("filled"))
+    rows = heights.select(*SHEET, "source_row", "filled", F.explode(candidates(here)).alias("row"))
     near = (F.col("source_row") - F.col("row")) <= fv.SCORE_BODY_ROWS
     wide = F.col("filled") > 1
     widths = rows.where(wide).groupBy(*SHEET, "row", "filled").agg(
@@ -113,7 +114,7 @@ def header_scores(cells: DataFrame) -> DataFrame:
         F.max_by("filled", F.struct("n", -F.col("first"))).alias("body_width"), F.sum("n").alias("wide_rows"))
     beneath = rows.groupBy(*SHEET, "row").agg(F.count_if(near & (F.col("filled") > 0)).alias("rows_beneath"))
 
-    body = cell.where("populated").join(head.select(*SHEET, "source_row", "filled"), [*SHEET, "source_row"]).select(
+    body = cell.where("populated").select(
         *SHEET, "source_row", "col", "shape", "filled", F.explode(candidates(here)).alias("row"))
     close = (F.col("source_row") - F.col("row")) <= fv.CONTRAST_ROWS
     shapes = []

@@ -6,12 +6,17 @@ equal bins, counts per bin (partial aggregation does the work before the
 shuffle) and keeps only the bins that hold a wanted rank.  After two rounds
 the survivors are few, and one small window reads the ranks off.
 Bins follow from min and max alone, so a recomputed task gives the same answer.
+
+Each round's spans (a few rows per group) are written to the checkpoint folder:
+the data is read once per round, and Spark knows the spans' size when it picks
+between broadcasting them and shuffling both sides.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reckonry.plans.staging import stage
 from reckonry.plans.sums import join_null_safe
 
 BINS = 4096
@@ -22,10 +27,9 @@ def _position(n: Column, q: float, exclusive: bool) -> Column:
     return F.greatest(F.lit(0.0), F.least(raw, (n - 1).cast("double")))
 
 
-def _narrow(data: DataFrame, spans: DataFrame, groups: list[str], few: bool) -> DataFrame:
+def _narrow(data: DataFrame, spans: DataFrame, groups: list[str]) -> DataFrame:
     """One round: spans(groups, target, lo, hi, rank) -> the bin inside each span holding its rank."""
     ranges = spans.select(*groups, "lo", "hi").distinct()
-    ranges = F.broadcast(ranges) if few else ranges
     inside = join_null_safe(data, ranges, groups, "inner").where(F.col("v").between(F.col("lo"), F.col("hi")))
     width = F.col("hi") - F.col("lo")
     bin_no = F.when(width <= 0, 0).otherwise(
@@ -46,23 +50,17 @@ def _narrow(data: DataFrame, spans: DataFrame, groups: list[str], few: bool) ->
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], exclusive: bool = False,
-    few_groups: bool = False,
+    df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], exclusive: bool = False
 ) -> DataFrame:
-    """One row per group: the groups, ``n`` and one interpolated quantile per wanted name.
-
-    ``few_groups`` says the group count has a fixed bound (columns of a table,
-    say), so the value ranges can go to the data instead of the reverse.
-    """
+    """One row per group: the groups, ``n`` and one interpolated quantile per wanted name."""
     keys = groups or ["__all"]
-    few = few_groups or not groups
     base = df if groups else df.withColumn("__all", F.lit(0))
     data = base.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("v"), F.lit(1).cast("long").alias("w")
     )
-    spans_all = data.groupBy(*keys).agg(
+    spans_all = stage(data.groupBy(*keys).agg(
         F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
+    ), "spans")
     n = F.col("n")
     targets = []
     for name, q in wanted.items():
@@ -72,10 +70,10 @@ def exact_quantiles(
             F.struct(F.lit(f"{name}/high").alias("target"), F.ceil(at).alias("rank")),
         ]
     spans = spans_all.select(*keys, "lo", "hi", F.inline(F.array(*targets)))
-    spans = _narrow(data, _narrow(data, spans, keys, few), keys, few)
+    for _ in range(2):
+        spans = stage(_narrow(data, spans, keys), "spans")
 
     narrow = spans.select(*keys, "lo", "hi").distinct()
-    narrow = F.broadcast(narrow) if few else narrow
     left = join_null_safe(data, narrow, keys, "inner").where(F.col("v").between(F.col("lo"), F.col("hi")))
     values = left.groupBy(*keys, "lo", "hi", "v").agg(F.sum("w").alias("cnt"))
     order = Window.partitionBy(*keys, "lo", "hi").orderBy("v")

@@ -28,7 +28,7 @@ def bank_lines(t: Tables):
     text = (
         F.when(dressed == 0, F.concat(F.lit("CARD PAYMENT TO "), merchant, F.lit(" 08/06/26")))
         .when(dressed == 1, F.lower(merchant)).otherwise(F.concat(F.lit("Direct Debit - "), merchant, F.lit(" REF 00"), F.col("l_suppkey").cast("string"))))
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         F.xxhash64(*t.lineitem.columns).alias(ROW), text.alias("description"),
         F.col("l_returnflag").alias("type"), F.col("l_extendedprice").alias("amount"), k.alias("merchant_no"))
 
@@ -94,7 +94,7 @@ def rules_on_part_names(t: Tables):
 def rules_on_documents(t: Tables):
     """Whole texts through every rule pattern."""
     text = F.regexp_replace(F.lower(F.regexp_replace("text", "[^A-Za-z0-9& ]+", " ")), " +", " ")
-    docs = t.documents.select(text.alias("line"))
+    docs = t.spread("documents").select(text.alias("line"))
     return docs.groupBy(K.rule_number(F.col("line")).alias("rule_no")).agg(F.count(F.lit(1)).alias("n"))
 
 

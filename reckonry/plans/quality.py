@@ -73,7 +73,7 @@ def profile_orders(t: Tables):
 @query("D1 D2 D3 D5 D14", "select \"column\", non_null, distinct_count, total, mean, median, negative_count from ("
        + _profile_sql("lineitem", _LINES, "l_orderkey") + ")")
 def profile_lineitem(t: Tables):
-    return D.profile_columns(t.lineitem, row="l_orderkey").select(
+    return D.profile_columns(t.spread("lineitem"), row="l_orderkey").select(
         "column", "non_null", "distinct_count", "total", "mean", "median", "negative_count")
 
 

@@ -25,7 +25,7 @@ def spelled_prices(t: Tables):
         .when(style == 7, F.concat(F.regexp_replace(F.format_number(whole, 0), ",", "'")))
         .otherwise(F.lit("n/a"))
     )
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", style.alias("spelling"), text.alias("raw"))
+    return t.spread("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", style.alias("spelling"), text.alias("raw"))
 
 
 @query("L4 L2", """
@@ -64,7 +64,7 @@ def spelled_dates(t: Tables):
         .when(style == 4, F.date_format(d, "yyyy/M/d"))
         .otherwise(F.concat(F.date_format(d, "dd-MM-yyyy"), F.lit(" 10:45:00")))
     )
-    return t.orders.select("o_orderkey", d.alias("day"), style.alias("spelling"), text.alias("raw"))
+    return t.spread("orders").select("o_orderkey", d.alias("day"), style.alias("spelling"), text.alias("raw"))
 
 
 @query("L5", """
@@ -191,7 +191,7 @@ def _redaction_sql() -> str:
 
 @query("T9", _redaction_sql())
 def redaction_counts(t: Tables):
-    return T.redaction_report(t.documents, "text")
+    return T.redaction_report(t.spread("documents"), "text")
 
 
 @query("T9", f"""
@@ -199,7 +199,7 @@ def redaction_counts(t: Tables):
     from (select doc_id, text, {_sql_redactions('text')[-1]} as redacted from documents)
     where redacted <> text""")
 def redacted_documents(t: Tables):
-    redacted = t.documents.select("doc_id", "text", T.redact(F.col("text")).alias("redacted"))
+    redacted = t.spread("documents").select("doc_id", "text", T.redact(F.col("text")).alias("redacted"))
     return redacted.where(F.col("redacted") != F.col("text")).select(
         "doc_id", F.md5("redacted").alias("digest"), F.length("redacted").cast("long").alias("chars"))
 

@@ -30,3 +30,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan with too few splits for them.
+
+    Big tables have more splits than the cluster has cores and pass through
+    untouched; only a small file about to meet costly row work is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
