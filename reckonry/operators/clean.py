@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from reckonry.functions import fixed_values as fv
 from reckonry.functions.scalars import normalize_text, parse_date, parse_number, token
 from reckonry.operators.profile import SOURCE_ROW, business_columns
+from reckonry.plans.skew import lookup
 
 LOG_SCHEMA = (
     "step int, op string, column string, rows_changed long, rows_removed long, rows_unmatched long, "
@@ -112,15 +113,15 @@ def _map_values(df: DataFrame, step: Step, p: dict) -> DataFrame:
         raise StepSkipped("mapping is empty; step skipped")
     if not _is_text(df, column):
         return df
-    lookup = mapping_frame(df, mapping).select(F.col("value").alias(column), F.col("canonical").alias("__canonical"))
-    joined = df.join(lookup, column, "left").select(*df.columns, "__canonical")
+    targets = mapping_frame(df, mapping).select(F.col("value").alias(column), F.col("canonical").alias("__canonical"))
+    joined = lookup(df, targets, [column]).select(*df.columns, "__canonical")
     return _replace(joined, step, column, F.coalesce("__canonical", column)).drop("__canonical")
 
 
 def _decided(df: DataFrame, step: Step, column: str, targets: dict[str, Column], decisions: DataFrame) -> DataFrame:
     flag, miss = f"__c{step.number}", f"__u{step.number}"
     keyed = df.withColumn("__key", F.coalesce(token(F.col(column)), F.lit("")))
-    joined = keyed.join(decisions, "__key", "left").withColumns(targets)
+    joined = lookup(keyed, decisions, ["__key"]).withColumns(targets)
     step.changed, step.unmatched, step.after = flag, miss, next(iter(targets))
     return joined.withColumns({
         flag: F.col("__hit").isNotNull(), miss: F.col("__hit").isNull(),
@@ -158,14 +159,14 @@ def _assign_tax(df: DataFrame, step: Step, p: dict) -> DataFrame:
         rows = [(k, *[v.get(t) for t in targets]) for k, v in decisions.items()]
         fields = [T.StructField(n, T.StringType()) for n in ("key", *targets)]
         decisions = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-    lookup = decisions.groupBy("key").agg(F.min(F.struct(*[F.col(f"`{t}`") for t in targets])).alias("__d")).select(
+    by_key = decisions.groupBy("key").agg(F.min(F.struct(*[F.col(f"`{t}`") for t in targets])).alias("__d")).select(
         F.col("key").alias("__key"), "__d", F.lit(True).alias("__hit"))
 
     def value(t: str) -> Column:
         known = F.coalesce(F.col("__d")[t], F.lit(""))
         return F.when(F.col("__hit").isNotNull(), known).otherwise(F.lit(str(fallback.get(t, "") or "")))
 
-    return _decided(df, step, column, {t: value(t) for t in targets}, lookup)
+    return _decided(df, step, column, {t: value(t) for t in targets}, by_key)
 
 
 def _coerce_number(df: DataFrame, step: Step, p: dict) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reckonry.functions import fixed_values as fv
 from reckonry.functions.scalars import is_null_token, normalize_text, parse_date, parse_iso_date, to_decimal
+from reckonry.plans.skew import lookup
 
 LEDGER = (
     ("occurred_on", "date"), ("kind", "string"), ("category", "string"), ("amount", "decimal(18,2)"),
@@ -68,14 +69,13 @@ def classify(df: DataFrame, account: Column, description: Column, hint: Column)
     """Adds category, kind and classified_by.
 
     The keyword list runs once per distinct (account, description, hint); rows
-    read the answer back with a null-safe join Spark can split when one account
-    holds a large share of them.
+    read the answer back through a join that spreads busy accounts.
     """
     keyed = df.withColumns({
         "__a": F.coalesce(account, F.lit("")), "__d": F.coalesce(description, F.lit("")), "__h": F.coalesce(hint, F.lit(""))})
     kinds = keyed.select("__a", "__d", "__h").distinct()
     decided = kinds.withColumn("__c", account_class(F.col("__a"), F.col("__d"), F.nullif(F.col("__h"), F.lit(""))))
-    return keyed.join(decided, ["__a", "__d", "__h"]).select(*df.columns, "__c.category", "__c.kind", "__c.classified_by")
+    return lookup(keyed, decided, ["__a", "__d", "__h"], "inner").select(*df.columns, "__c.category", "__c.kind", "__c.classified_by")
 
 
 # ---------------------------------------------------------------- sheets
@@ -307,7 +307,7 @@ def convert(entries: DataFrame, rates: DataFrame, base: str = "USD") -> DataFram
     """Adds ``amount_base`` = amount / rate; ``rates(currency, rate)``.  Unknown codes give null."""
     table = rates.where("rate <> 0").groupBy(F.upper("currency").alias("__code")).agg(F.min("rate").cast("decimal(18,6)").alias("__rate"))
     coded = entries.withColumn("__code", F.upper(F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit(base))))
-    joined = coded.join(table, "__code", "left")
+    joined = lookup(coded, table, ["__code"])
     value = F.when(F.col("__code") == base, F.col("amount").cast("decimal(38,10)")).otherwise(
         (F.col("amount").cast("decimal(24,8)") / F.col("__rate")).cast("decimal(38,10)"))
     return joined.select(*entries.columns, value.alias("amount_base"))
