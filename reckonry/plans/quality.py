@@ -283,3 +283,37 @@ def proposals_for_lines(t: Tables):
     """Everything the signals propose for the respelled supplier lines, ranked."""
     found = R.build_proposals(respelled_suppliers(t))
     return found.where("confidence = 'medium'").select("group_key", "step_type", "confidence", "affected_rows", "materiality")
+
+
+def _one_month(t: Tables):
+    """Orders booked into August, one in twenty straying into another month."""
+    k = F.col("o_orderkey")
+    day = F.date_add(F.lit("2026-08-01").cast("date"), F.pmod(k, F.lit(28)).cast("int"))
+    stray = F.add_months(day, F.when(k % 40 == 0, -5).otherwise(2))
+    return t.orders.select(
+        k.alias(ROW), F.when(k % 20 == 0, stray).otherwise(day).alias("booked"), F.date_format(day, "dd/MM/yyyy").alias("__raw_booked"),
+        F.col("o_totalprice").alias("net_amount"))
+
+
+@query("R4 R7", """
+    select 'date_ambiguity:booked' as group_key, 'review_ambiguous_dates' as step_type, 'booked' as column_name, 'medium' as confidence,
+           count(*) as affected_rows, cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / 100 as materiality
+    from orders where o_orderkey % 20 = 0 having count(*) > 0""")
+def stray_date_proposal(t: Tables):
+    found = R.stray_dates(_one_month(t), "booked", ambiguous=1, order="dmy")
+    return found.select("group_key", "step_type", "column_name", "confidence", "affected_rows", "materiality")
+
+
+@query("R4", """
+    select o_orderkey as source_row, strftime(date '2026-08-01' + cast(o_orderkey % 28 as integer), '%d/%m/%Y') as raw,
+           case when o_orderkey % 40 = 0 then '2026-03' else '2026-10' end as month from orders where o_orderkey % 20 = 0""")
+def stray_date_rows(t: Tables):
+    return R.stray_date_rows(_one_month(t), "booked").select("source_row", "raw", F.substring("read_as", 1, 7).alias("month"))
+
+
+@query("R5 D10", """
+    select 'invariant:declared_totals' as group_key, 'block_totals_mismatch' as step_type, 'low' as confidence, 0 as affected_rows, 0.25 as materiality
+    where (select count(*) from orders) > 0""")
+def totals_mismatch_proposal(t: Tables):
+    found = R.totals_mismatch(declared_totals_check(t))
+    return found.select("group_key", "step_type", "confidence", "affected_rows", "materiality")

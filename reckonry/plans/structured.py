@@ -13,7 +13,7 @@ def _rounded(df, **places):
     ])
 
 
-@query("Q1 Q3 Q5 Q8 Q9 Q13 Q14", """
+@query("Q1 Q2 Q3 Q5 Q8 Q9 Q11 Q13 Q14", """
     select l_returnflag, count(*) as row_count,
            round(sum(l_extendedprice), 2) as sum_l_extendedprice,
            round(avg(l_extendedprice), 4) as avg_l_extendedprice,
@@ -125,3 +125,17 @@ def structured_top_groups(t: Tables):
         "order_by": [{"column": "parts", "direction": "desc"}, "p_brand"],
         "limit": 10,
     }).rows
+
+
+@query("Q15", """
+    select 'o_orderpriority' as grouped_by, count(distinct o_orderpriority) as row_count, count(*) as orders,
+           least(count(distinct o_orderpriority) * 200, count(*)) > 0 as has_refs from orders""")
+def structured_run_record(t: Tables):
+    """One recorded run: the question, its rows, the rows behind them."""
+    dataset = t.orders.withColumnRenamed("o_orderkey", "__source_row")
+    record = answer(dataset, {"select": [{"agg": "count", "alias": "orders"}], "group_by": ["o_orderpriority"]}).run_record(t.spark)
+    rows = F.from_json("result", "array<struct<orders:bigint>>")
+    total = F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r["orders"])
+    return record.select(
+        F.get_json_object("spec", "$.group_by[0]").alias("grouped_by"), "row_count", total.alias("orders"),
+        (F.length("row_refs") > 2).alias("has_refs"))
