@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reckonry.functions import fixed_values as fv
+from reckonry.plans.staging import stage
 
 GRAINS = ("daily", "weekly", "monthly", "yearly")
 FINER = {"daily": "daily", "weekly": "daily", "monthly": "weekly", "yearly": "monthly"}
@@ -280,8 +281,8 @@ def quiet_insight(pair: DataFrame, grain: str) -> DataFrame:
 
 
 def find_insights(base: DataFrame, grain: str, window=None, week_start: int = fv.SATURDAY) -> DataFrame:
-    cube = daily_cube(base)
-    periods = build_periods(cube, grain, window, week_start)
+    cube = stage(daily_cube(base), "cube")  # a few rows per day, read by every finding
+    periods = stage(build_periods(cube, grain, window, week_start), "periods")
     pair, total = last_two(periods), window_total(periods)
     return reduce(lambda a, b: a.unionByName(b), [
         result_insight(pair), margin_insight(pair), expense_insights(category_shares(cube, grain, week_start), pair),

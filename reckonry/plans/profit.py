@@ -241,9 +241,26 @@ def insight_quiet_days(t: Tables):
     return P.quiet_insight(pair, "yearly").select("code", *[F.get_json_object("values", f"$.{c}").cast("int").alias(c) for c in ("silent_days", "days")])
 
 
-@query("F12 F13 F14 F15 F16 F17 F18")
+@query("F12 F13 F14 F15 F16 F17 F18", _periods_cte("monthly") + _PAIR + """
+    , n as (select category, sum(amount) as a from k where s = (select s from c) and kind <> 'revenue' group by 1),
+      o as (select category, sum(amount) as a from k where s = (select s from b) group by 1),
+      j as (select n.a as now, coalesce(o.a, 0) as was from n left join o using (category)),
+      pr as (select product as label, sum(amount) as a from g where kind = 'revenue' and trim(product) <> '' group by 1),
+      cu as (select counterparty as label, sum(amount) as a from g where kind = 'revenue' and trim(counterparty) <> '' group by 1),
+      z as (select sum(revenue) as r, sum(refunds) as f, sum(cogs) + sum(expenses) as x, sum(uncategorised) as u from q)
+    select case when net_profit < 0 then 'loss_making' else 'profitable' end as code, case when net_profit < 0 then 'alert' else 'good' end as severity
+      from c where net_profit < 0 or (net_profit > 0 and revenue > 0)
+    union all select case when d < 0 then 'margin_down' else 'margin_up' end, case when d < 0 then 'watch' else 'good' end
+      from (select (c.gross_margin - b.gross_margin) * 100 as d from b, c) where d <= -2 or d >= 2
+    union all select case when was > 0 then 'expense_spike' else 'new_expense' end, 'watch' from j
+      where abs(now - was) >= 50 and ((was > 0 and (now - was) / was >= 0.4) or (was = 0 and now >= 50))
+    union all select 'product_concentration', 'watch' from pr having max(a) / sum(a) >= 0.4
+    union all select 'customer_concentration', 'watch' from cu having max(a) / sum(a) >= 0.35
+    union all select 'refund_rate', 'watch' from z where r > 0 and f > 0 and f / (r + f) >= 0.05
+    union all select 'uncategorised_costs', 'watch' from z where x > 0 and u > 0 and u / x >= 0.1
+    union all select 'quiet_days', 'watch' from c where days > 7 and trading_days > 0 and days - trading_days >= greatest(3, floor(days / 4))""")
 def all_insights(t: Tables):
-    return P.find_insights(base_ledger(t), "monthly")
+    return P.find_insights(base_ledger(t), "monthly").select("code", "severity")
 
 
 @query("F19 F2", _LEDGER + f""",
