@@ -70,12 +70,13 @@ def reporting_window(grain: str, today: dt.date, periods_back: int = 1, week_sta
 
 
 def daily_cube(base: DataFrame) -> DataFrame:
-    """``base`` is a ledger with ``amount_base``."""
+    """A few rows per day, written once: ``base`` is a ledger with ``amount_base``."""
     amount = F.col("amount_base")
     back = (F.col("kind") == "revenue") & (amount < 0)
-    return base.groupBy("occurred_on", "kind", "category", "classified_by").agg(
+    cube = base.groupBy("occurred_on", "kind", "category", "classified_by").agg(
         F.sum(amount).alias("amount"), F.coalesce(F.sum(F.when(back, -amount)), F.lit(0).cast("decimal(38,10)")).alias("refunds"),
         F.count(F.lit(1)).alias("entries"))
+    return stage(cube, "cube")
 
 
 def _sum_when(test: Column, c: Column = None) -> Column:
@@ -281,7 +282,7 @@ def quiet_insight(pair: DataFrame, grain: str) -> DataFrame:
 
 
 def find_insights(base: DataFrame, grain: str, window=None, week_start: int = fv.SATURDAY) -> DataFrame:
-    cube = stage(daily_cube(base), "cube")  # a few rows per day, read by every finding
+    cube = daily_cube(base)
     periods = stage(build_periods(cube, grain, window, week_start), "periods")
     pair, total = last_two(periods), window_total(periods)
     return reduce(lambda a, b: a.unionByName(b), [
