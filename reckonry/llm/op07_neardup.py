@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from reckonry.llm.batches import slices
 from reckonry.llm.words import mix, shingles_of, words_of
 from reckonry.plans.staging import stage
 
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, spec: MinHash) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 hashes, bounds = _sets(part.column("text"), spec.size)
                 counts, keys = np.diff(bounds), _minima(hashes, bounds, spec)
                 full, key = counts > 0, np.zeros((len(counts), 2), np.uint64)
@@ -96,23 +96,12 @@ def signatures(docs: DataFrame, spec: MinHash) -> DataFrame:
         work, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
 
 
-def _slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Whole rows, about ``size`` bytes of text at a time."""
-    lengths = np.asarray(pc.binary_length(batch.column("text")).fill_null(0))
-    ends, at = np.cumsum(lengths), 0
-    while at < batch.num_rows:
-        base = ends[at - 1] if at else 0
-        until = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
-        yield batch.slice(at, until - at)
-        at = until
-
-
 def shingle_sets(docs: DataFrame, spec: MinHash) -> DataFrame:
     """doc_id and its sorted distinct shingle hashes, for the rows given."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 hashes, bounds = _sets(part.column("text"), spec.size)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "shingles"])

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op07_neardup",)
+MODULES = ("op01_pieces", "op04_quality", "op07_neardup", "op08_secrets", "op09_token_files", "op10_html")
 
 
 def _loaded():

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _AS_IS = np.arange(1, 257, dtype=np.uint64)
@@ -56,12 +56,14 @@ class Words:
         at, total = 0, len(self.starts)
         while at < total:
             until = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + PIECE, "right")))
-            begin, sizes = self.starts[at:until], (self.ends - self.starts)[at:until]
-            shift = begin - np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            inside = np.arange(int(sizes.sum())) + np.repeat(shift, sizes)
-            terms = table[self.data[inside]]
-            terms *= powers[inside - np.repeat(begin, sizes)]
-            out[at:until] = np.add.reduceat(terms, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            low, high = self.starts[at], self.ends[until - 1]
+            begin = self.starts[at:until] - low
+            place = np.arange(high - low)
+            place -= np.repeat(begin, np.diff(begin, append=high - low))
+            np.minimum(place, longest, out=place)  # white space, which counts for nothing
+            terms = table[self.data[low:high]]
+            terms *= powers[place]
+            out[at:until] = np.add.reduceat(terms, begin)
             at = until
         return mix(out)
 
