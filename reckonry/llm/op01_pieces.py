@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from reckonry.llm.batches import slices
 
@@ -179,36 +180,42 @@ class Coder:
         return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = True) -> DataFrame:
-    """doc_id, ids, n_pieces, n_byte_pieces and, if ``check``, same: whether decoding gives the text again.
+def _encoded(coder: Coder, texts: list[str | None]) -> tuple[list[pa.Array], list[str]]:
+    """ids, n_pieces, n_byte_pieces, same of each text."""
+    flat, ends, fallback, same, total = [], [0], [], [], 0
+    for text in texts:
+        ids = coder.encode(text or "")
+        flat.append(np.array(ids, np.int32))
+        total += len(ids)
+        ends.append(total)
+        fallback.append(int(coder.is_byte[flat[-1]].sum()))
+        same.append(text is None or coder.decode(ids) == text)
+    offsets = pa.array(ends, pa.int32(), mask=np.array([t is None for t in texts] + [False]))
+    return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat))), pa.array(np.diff(ends), pa.int64()),
+            pa.array(fallback, pa.int64()), pa.array(same, pa.bool_())], ["ids", "n_pieces", "n_byte_pieces", "same"]
 
-    A null text has null ids and no pieces; an empty one has none. Texts that hold the mark itself
-    come back with a space for it. Rows are judged one by one. The vocabulary is bounded and travels
-    with the job; only doc_id and text are read.
+
+def encode_column(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs`` with ids, n_pieces, n_byte_pieces and same added in place of text (columns of these names are replaced).
+
+    same tells whether decoding gives the text again. A null text has null ids and no pieces; an empty
+    one has none. Texts that hold the mark itself come back with a space for it. Rows are judged one by
+    one. The vocabulary is bounded and travels with the job.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    docs = docs.drop("ids", "n_pieces", "n_byte_pieces", "same")
+    others = [f for f in docs.schema.fields if f.name != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shipped.value)
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                flat, ends, fallback, same = [], [0], [], []
-                total, texts = 0, part.column("text").to_pylist()
-                for text in texts:
-                    ids = coder.encode(text or "")
-                    flat.append(np.array(ids, np.int32))
-                    total += len(ids)
-                    ends.append(total)
-                    fallback.append(int(coder.is_byte[flat[-1]].sum()))
-                    if check:
-                        same.append(text is None or coder.decode(ids) == text)
-                offsets = pa.array(ends, pa.int32(), mask=np.array([t is None for t in texts] + [False]))
-                arrays = [part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat))),
-                          pa.array(np.diff(ends), pa.int64()), pa.array(fallback, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(same, pa.bool_())] * check, ["doc_id", "ids", "n_pieces", "n_byte_pieces"] + ["same"] * check)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "doc_id long, ids array<int>, n_pieces long, n_byte_pieces long" + ", same boolean" * check)
+                arrays, names = _encoded(coder, part.column("text").to_pylist())
+                kept = [n for n in part.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + arrays, kept + names)
+
+    schema = StructType([*others, *StructType.fromDDL("ids array<int>, n_pieces long, n_byte_pieces long, same boolean").fields])
+    return docs.mapInArrow(work, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -231,7 +238,8 @@ def public_vocabulary() -> Vocabulary:
 
 
 def op1_unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{folder}/documents.parquet"), public_vocabulary())
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return encode_column(docs, public_vocabulary())
 
 
 QUERY = op1_unigram_pieces

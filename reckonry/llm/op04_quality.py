@@ -181,6 +181,18 @@ def judge(docs: DataFrame, measures: tuple[str, ...] = (), rules: tuple[Rule, ..
         work, "doc_id long, " + "".join(f"{m} long, " for m in names) + "kept boolean")
 
 
+def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text no rule rejects."""
+    order = plan(docs, rules, sample_rows)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.take(pa.array(cascade(Texts(part.column("text")), order, rules)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op4_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     found = judge(docs, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))

@@ -98,35 +98,59 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
     return "".join(out) + text[at:]
 
 
-def find_secrets(docs: DataFrame, redact: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and text with secrets replaced if ``redact``.
+def spans_of(packer: zstandard.ZstdCompressor, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and all spans."""
+    low = text.lower()
+    base = base_spans(text, low)
+    return base, base + novel_spans(packer, text, low, base)
 
-    Offsets are code points of the whole text, ends exclusive. A null text counts as empty: no spans,
-    the digest of an empty string, and a null text again. Rows are judged one by one, so repeats,
-    null ids and other columns don't matter.
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
+
+    Offsets are code points of the whole text, ends exclusive. A null text counts as empty: no spans
+    and the digest of an empty string. Rows are judged one by one, so repeats, null ids and other
+    columns don't matter.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = compressor()
         for batch in batches:
             for part in slices(batch):
-                rows, kept = [], part.column("text").to_pylist()
-                for i, text in enumerate(kept):
-                    text = text or ""
-                    low = text.lower()
-                    base = base_spans(text, low)
-                    spans = base + novel_spans(packer, text, low, base)
+                rows = []
+                for text in part.column("text").to_pylist():
+                    base, spans = spans_of(packer, text or "")
                     kinds = [k for _, k, _ in base]
                     rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans)))
-                    if redact and spans:
-                        kept[i] = redacted(text, spans)
                 columns = list(zip(*rows))
                 arrays = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])]
-                names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.string())] * redact, names + ["text"] * redact)
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def redacted_rows(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs`` with secrets in text replaced and n_chars, if there, set to the new length; null texts stay null."""
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, schema + ", text string" * redact)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = compressor()
+        for batch in batches:
+            for part in slices(batch):
+                texts, names = part.column("text").to_pylist(), part.schema.names
+                found = {i: spans for i, text in enumerate(texts) if text and (spans := spans_of(packer, text)[1])}
+                if found:
+                    lengths = part.column("n_chars").to_pylist() if "n_chars" in names else None
+                    for i, spans in found.items():
+                        texts[i] = redacted(texts[i], spans)
+                        if lengths:
+                            lengths[i] = len(texts[i])
+                    part = part.set_column(names.index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
+                    if lengths:
+                        part = part.set_column(names.index("n_chars"), part.schema.field("n_chars"), pa.array(lengths, part.schema.field("n_chars").type))
+                yield part
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op8_secret_novelty(spark: SparkSession, folder: str) -> DataFrame:

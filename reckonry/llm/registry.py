@@ -7,7 +7,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op01_pieces", "op04_quality", "op07_neardup", "op08_secrets", "op09_token_files", "op10_html")
+MODULES = (
+    "op01_pieces", "op02_decontaminate", "op03_urls", "op04_quality", "op05_shards", "op06_licenses", "op07_neardup", "op08_secrets",
+    "op09_token_files", "op10_html",
+)
 
 
 def _loaded():
