@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reckonry.operators.query import checked
-from reckonry.plans.sums import cents, money_avg, money_sum, money_sum_or_zero
+from reckonry.plans.sums import cents, money_avg, money_sum, money_sum_or_zero, units
 
 
 def _in_period(date: str, period: tuple[str, str]) -> Column:
@@ -28,9 +28,9 @@ def _compared(df: DataFrame, *keep: str) -> DataFrame:
     a, b = F.col("cents_a"), F.col("cents_b")
     return df.select(
         *keep,
-        (a / 100.0).alias("total_a"),
-        (b / 100.0).alias("total_b"),
-        ((b - a) / 100.0).alias("difference"),
+        units(a).alias("total_a"),
+        units(b).alias("total_b"),
+        units(b - a).alias("difference"),
         _change(a, b).alias("percent_change"),
     )
 
@@ -203,8 +203,8 @@ def reconcile_matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str)
         (F.col("rows_a") * F.col("rows_b")).alias("pairs"),
         F.lit(False).alias("many_to_many"),
     )
-    total_a = F.col("cents_a") * F.col("filled_b") / 100.0
-    total_b = F.col("cents_b") * F.col("filled_a") / 100.0
+    total_a = units(F.col("cents_a") * F.col("filled_b"))
+    total_b = units(F.col("cents_b") * F.col("filled_a"))
     totals = both.where(many).select(
         *keys, total_a.alias("amount_a"), total_b.alias("amount_b"),
         (total_a - total_b).alias("difference"),
@@ -270,7 +270,7 @@ def reconcile_summary(
         (F.col("pairs") - F.col("filled_pairs") + F.col("near")).alias("matched"),
         (F.col("filled_pairs") - F.col("near")).alias("matched_with_difference"),
         "only_in_a", "only_in_b",
-        ((F.col("diff_cents") - F.col("near_cents")) / 100.0).alias("difference_total"),
+        units(F.col("diff_cents") - F.col("near_cents")).alias("difference_total"),
         "unmatched_value_a", "unmatched_value_b",
     )
 

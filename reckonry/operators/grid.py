@@ -310,8 +310,9 @@ def parse_warnings(columns: DataFrame) -> DataFrame:
 def build_table(rows: DataFrame, columns: list, keep_sheet: bool = False) -> DataFrame:
     """Typed table for sheets that share one shape.
 
-    ``columns`` are collected rows of :func:`infer_columns` for that shape, one
-    per column.  Numbers and dates keep their text beside them as ``__raw_``.
+    ``columns`` are collected rows of :func:`infer_columns` for that shape, one per column. Each
+    sheet's own order of day and month rides with its rows in the map ``date_orders`` (position to
+    order). Numbers and dates keep their text beside them as ``__raw_``.
     """
     out = [F.col("source_row").alias("__source_row")]
     if keep_sheet:
@@ -325,7 +326,8 @@ def build_table(rows: DataFrame, columns: list, keep_sheet: bool = False) -> Dat
         if c["inferred_type"] == "number":
             parsed[f"__p{i}"] = S.number_struct(value)["value"]
         elif c["inferred_type"] == "date":
-            order = c["date_order"] if c["date_order"] in ("dmy", "mdy") else "dmy"
+            own = F.try_element_at("date_orders", F.lit(i))
+            order = F.when(own.isin("dmy", "mdy"), own).otherwise("dmy")
             parsed[f"__p{i}"] = F.when(kind == "n", S.serial_date_struct(value)["value"]).when(
                 kind == "d", F.substring(value, 1, 10).try_cast("date")).otherwise(S.date_struct(value, order)["value"])
         elif c["inferred_type"] == "boolean":
@@ -365,4 +367,7 @@ class Workbooks:
                 wanted = wanted.where(F.col(name) == value)
         wanted = wanted.select(*SHEET)
         one = self.columns.join(wanted.orderBy(*SHEET).limit(1), SHEET).orderBy("position").collect()
-        return stage(build_table(self.rows.join(wanted, SHEET, "left_semi"), one, keep_sheet=signature is not None), "table")
+        orders = self.columns.where("inferred_type = 'date'").groupBy(*SHEET).agg(
+            F.map_from_entries(F.collect_list(F.struct("position", "date_order"))).alias("date_orders"))
+        facts = wanted.join(orders, SHEET, "left")  # one row a sheet
+        return stage(build_table(self.rows.join(facts, SHEET), one, keep_sheet=signature is not None), "table")

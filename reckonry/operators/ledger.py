@@ -221,7 +221,7 @@ def entries_from_documents(documents: DataFrame, currency: str = "USD") -> tuple
         "occurred_on", "currency", "counterparty", "location",
         (to_decimal(line["Amount"]) * F.col("sign")).alias("amount"),
         F.coalesce(F.nullif(account, F.lit("")), product).alias("account"), product.alias("product"),
-        F.substring(F.coalesce(line["Description"], F.lit("")), 1, 500).alias("description"),
+        F.coalesce(line["Description"], F.lit("")).alias("description"),
         to_decimal(detail("Qty"), 4).alias("quantity"),
         F.when(stock, "cogs").otherwise(F.col("direction")).alias("__hint"),
         F.concat_ws(":", F.lit("qb"), "entity", "doc_id", F.coalesce(line["Id"], F.col("l.i").cast("string"))).alias("source_ref"),
@@ -293,7 +293,7 @@ def entries_from_postings(lines: DataFrame, accounts: DataFrame, currency: str =
         F.when(F.col("__hint") == "revenue", -F.col("__balance")).otherwise(F.col("__balance")).alias("amount"),
         F.coalesce(F.nullif(code, F.lit("")), F.lit(currency)).alias("currency"),
         F.coalesce(F.nullif(F.col("account_label"), F.lit("")), _label(F.col("account_id"))).alias("account"),
-        F.substring(F.coalesce("name", F.lit("")), 1, 500).alias("description"),
+        F.coalesce("name", F.lit("")).alias("description"),
         _label(F.col("product_id")).alias("product"), _label(F.col("partner_id")).alias("counterparty"),
         _label(F.col("journal_id")).alias("location"), to_decimal(F.col("quantity"), 4).alias("quantity"),
         F.concat(F.lit("odoo:aml:"), F.col("id").cast("string")).alias("source_ref"), F.coalesce("name", F.lit("")).alias("__words"))

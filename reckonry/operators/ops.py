@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reckonry.functions import fixed_values as fv
 from reckonry.functions.text import age_bucket, question_signature
-from reckonry.plans.sums import cents
+from reckonry.plans.skew import lookup
+from reckonry.plans.sums import cents, units
 
 
 def model_used(result: Column) -> Column:
@@ -110,7 +111,7 @@ def client_board(workspaces: DataFrame, datasets: DataFrame, jobs: DataFrame, ch
     sets = datasets.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("datasets"))
     active = jobs.where(F.col("status").isin("queued", "running")).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("working"))
     waiting = changes.where("status = 'pending'").groupBy("workspace_id").agg(
-        F.count(F.lit(1)).alias("pending"), (F.coalesce(F.sum(F.abs(cents(F.col("materiality")))), F.lit(0)) / 100.0).alias("pending_value"))
+        F.count(F.lit(1)).alias("pending"), units(F.coalesce(F.sum(F.abs(cents(F.col("materiality")))), F.lit(0))).alias("pending_value"))
     history = operations(jobs, jobs.sparkSession.createDataFrame([], "dataset_id string, name string")).select("workspace_id", "family", "label", "created_at", "job_id")
     done = history.groupBy("workspace_id").pivot("family", families).agg(F.count(F.lit(1)))
     newest = history.groupBy("workspace_id").agg(F.max_by("label", F.struct("created_at", "job_id")).alias("latest"), F.max("created_at").alias("latest_at"))
@@ -136,22 +137,15 @@ def duplicate_questions(turns: DataFrame) -> DataFrame:
 def with_duplicates(turns: DataFrame) -> DataFrame:
     """Adds duplicate (bool) and redundant (a duplicate that is neither newest nor pending).
 
-    The few groups that hold most turns are looked up by broadcast (at most a
-    thousand rows); the rest meet by shuffle.
+    Every turn meets its group by a join salted by the turn's own id, whatever the group's size.
     """
-    groups = duplicate_questions(turns).select(
-        "workspace_id", "signature", F.col("turns").alias("__n"), F.col("newest").alias("__newest"))
-    keys = ["workspace_id", "signature"]
+    groups = duplicate_questions(turns).select("workspace_id", "signature", F.col("newest").alias("__newest"))
     signed = turns.withColumn("signature", question_signature(F.col("question")))
-    hot = groups.where("__n > 100000").orderBy(F.desc("__n")).limit(1000)
-    tagged = signed.join(F.broadcast(hot.select(*keys, F.col("__newest").alias("__hot"))), keys, "left")
-    spread = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64("request_id"), F.lit(1024)) + 1).otherwise(F.lit(0))
-    rest = groups.withColumn("__s", F.lit(0).cast("long"))
-    joined = tagged.withColumn("__s", spread.cast("long")).join(rest, [*keys, "__s"], "left")
-    newest = F.coalesce("__hot", "__newest")
+    joined = lookup(signed, groups, ["workspace_id", "signature"], row="request_id")
+    newest = F.col("__newest")
     return joined.withColumns({
         "duplicate": newest.isNotNull(),
-        "redundant": newest.isNotNull() & (F.col("request_id") != newest) & (F.col("status") != "pending")}).drop("__hot", "__newest", "__n", "__s")
+        "redundant": newest.isNotNull() & (F.col("request_id") != newest) & (F.col("status") != "pending")}).drop("__newest")
 
 
 def filter_turns(turns: DataFrame, which: str = "all", search: str = "") -> DataFrame:

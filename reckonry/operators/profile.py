@@ -1,7 +1,6 @@
 """Column profiles and data-quality signals.
 
-A table is read twice at most: once for the single-row aggregates and once,
-unpivoted, for value counts.  Everything else derives from those results.
+A table is read for the single-row aggregates, for value counts (unpivoted) and for exact medians.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from reckonry.functions import fixed_values as fv
 from reckonry.functions.scalars import entity_key
 from reckonry.functions.text import redact
 from reckonry.operators.order_statistics import exact_quantiles
-from reckonry.plans.sums import cents, money_sum_or_zero
+from reckonry.plans.sums import cents, money_sum_or_zero, units
 
 SOURCE_ROW = "__source_row"
 META_SCHEMA = (
@@ -36,7 +35,7 @@ def money_columns(df: DataFrame) -> list[str]:
 
 
 def stored_types(df: DataFrame) -> dict[str, str]:
-    """Types from the stored schema; text whose first 20 values are ISO dates counts as dates."""
+    """Types from the stored schema; text of which every value is an ISO date counts as dates."""
     kinds, text = {}, []
     for f in df.schema:
         if f.name not in business_columns(df):
@@ -50,16 +49,9 @@ def stored_types(df: DataFrame) -> dict[str, str]:
         else:
             kinds[f.name] = "text"
             text.append(f.name)
-    probes = [
-        df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")).where("v is not null").limit(20)
-        for c in text
-    ]
-    if probes:
-        all_probes = probes[0]
-        for p in probes[1:]:
-            all_probes = all_probes.unionAll(p)
-        iso = all_probes.groupBy("column").agg(F.every(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("iso"))
-        kinds.update({r["column"]: "date" for r in iso.where("iso").collect()})
+    if text:
+        whole = df.agg(*[F.coalesce(F.every(F.col(c).cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$")), F.lit(False)).alias(f"d{i}") for i, c in enumerate(text)])
+        kinds.update({c: "date" for c, iso in zip(text, whole.first()) if iso})  # one row
     return kinds
 
 
@@ -209,7 +201,7 @@ def _money_at(columns: list[str], weight: Column) -> Column:
         return F.lit(None).cast("double")
     sums = [F.coalesce(F.sum(F.abs(cents(F.col(c))) * weight), F.lit(0)) for c in columns]
     most = sums[0] if len(sums) == 1 else F.greatest(*sums)
-    return F.nullif(most, F.lit(0)) / 100.0
+    return units(F.nullif(most, F.lit(0)))
 
 
 def _counted_rows(df: DataFrame, row: str) -> DataFrame:
@@ -250,7 +242,7 @@ def key_conflict_summary(df: DataFrame, key: str, row: str = SOURCE_ROW) -> Data
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in found.columns if c.startswith("__m")]
     most = F.lit(None).cast("double")
     if sums:
-        most = F.nullif(sums[0] if len(sums) == 1 else F.greatest(*sums), F.lit(0)) / 100.0
+        most = units(F.nullif(sums[0] if len(sums) == 1 else F.greatest(*sums), F.lit(0)))
     return found.agg(
         F.count(F.lit(1)).alias("group_count"),
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("affected_rows"),
@@ -368,7 +360,7 @@ def redacted_context(profile: DataFrame) -> DataFrame:
     """What may leave the system: counts, ranges and masked frequent values, never rows."""
     masked = F.transform(
         F.slice(F.coalesce("top_values", F.array()), 1, 5),
-        lambda s: F.struct(F.substring(redact(s["value"]), 1, 60).alias("value"), s["count"].alias("count")),
+        lambda s: F.struct(redact(s["value"]).alias("value"), s["count"].alias("count")),
     )
     number, date = F.col("inferred_type") == "number", F.col("inferred_type") == "date"
     return profile.select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reckonry.functions import fixed_values as fv
 from reckonry.operators import profile as D
-from reckonry.plans.sums import cents
+from reckonry.plans.sums import cents, units
 
 SCHEMA = (
     "group_key string, step_type string, column_name string, title string, operation string, "
@@ -106,7 +106,7 @@ def entity_mapping(spellings: DataFrame, max_groups: int | None = None) -> DataF
 def _largest(sums: list[Column]) -> Column:
     if not sums:
         return F.lit(None).cast("double")
-    return F.nullif(sums[0] if len(sums) == 1 else F.greatest(*sums), F.lit(0)) / 100.0
+    return units(F.nullif(sums[0] if len(sums) == 1 else F.greatest(*sums), F.lit(0)))
 
 
 def money_at_stake(df: DataFrame, group: list[Column], money: list[str] | None = None) -> DataFrame:
@@ -234,7 +234,7 @@ def summarise(proposals: DataFrame) -> DataFrame:
     return proposals.agg(
         total.alias("total"), F.count_if(tier == "high").alias("auto"), F.count_if(tier == "medium").alias("review"),
         F.count_if(tier == "low").alias("blocking"),
-        (F.coalesce(waiting, F.lit(0)) / 100.0).alias("review_materiality"),
+        units(F.coalesce(waiting, F.lit(0))).alias("review_materiality"),
         F.coalesce(F.bool_or(tier == "low"), F.lit(False)).alias("blocked"),
         F.coalesce(F.round(F.count_if(tier == "high") / F.nullif(total, F.lit(0)), 3), F.lit(1.0)).alias("automation_rate"))
 
@@ -321,4 +321,4 @@ def review_order(stored: DataFrame) -> DataFrame:
 
 def pending_money(stored: DataFrame) -> DataFrame:
     return stored.where("status = 'pending'").groupBy("dataset_version").agg(
-        F.count(F.lit(1)).alias("pending"), (F.coalesce(F.sum(F.abs(cents(F.col("materiality")))), F.lit(0)) / 100.0).alias("at_stake"))
+        F.count(F.lit(1)).alias("pending"), units(F.coalesce(F.sum(F.abs(cents(F.col("materiality")))), F.lit(0))).alias("at_stake"))

@@ -13,7 +13,7 @@ from reckonry.operators.clean import Cleaned, apply_operations
 from reckonry.operators.profile import business_columns
 from reckonry.operators.similar import closest_spelling
 from reckonry.plans.staging import stage
-from reckonry.plans.sums import cents
+from reckonry.plans.sums import cents, units
 
 DEVIATIONS = (
     "type string, severity string, group_key string, title string, column_name string, "
@@ -153,7 +153,7 @@ def resolve_values(
         "value", "key", "rows", outcome.alias("outcome"),
         F.coalesce("inline_to", "vocabulary_to").alias("resolved"),
         F.when(outcome == "ambiguous_match", F.coalesce("folded_to", "close_to")).alias("suggestion"),
-        (F.nullif(F.col("stake_cents"), F.lit(0)) / 100.0).alias("materiality"))
+        units(F.nullif(F.col("stake_cents"), F.lit(0))).alias("materiality"))
 
 
 def value_deviations(resolved: DataFrame, column: str) -> DataFrame:
@@ -254,7 +254,7 @@ def replay_summary(rows_in: DataFrame, deviations: DataFrame, log: DataFrame) ->
         F.count(F.lit(1)).alias("deviations"),
         F.count_if(F.col("severity") == "block").alias("block"), F.count_if(F.col("severity") == "review").alias("review"),
         F.coalesce(F.sum(F.when(open_, F.col("affected_rows"))), F.lit(0)).alias("touched"),
-        (F.coalesce(F.sum(F.when(open_, cents(F.col("materiality")))), F.lit(0)) / 100.0).alias("review_materiality"))
+        units(F.coalesce(F.sum(F.when(open_, cents(F.col("materiality")))), F.lit(0))).alias("review_materiality"))
     n = rows_in.agg(F.count(F.lit(1)).alias("rows_processed"))
     c = log.agg(F.coalesce(F.sum(F.col("rows_changed") + F.col("rows_removed")), F.lit(0)).alias("auto_corrections"))
     both = n.join(F.broadcast(d), F.lit(True)).join(F.broadcast(c), F.lit(True))
@@ -331,7 +331,7 @@ def check_invariants(df: DataFrame, invariants: list) -> DataFrame:
         elif kind == "total_within":
             share = float(inv["tolerance_pct"] or 100) / 100
             if column in df.columns:
-                parts.append((F.coalesce(F.sum(cents(F.col(column).try_cast("double"))), F.lit(0)) / 100.0).alias(f"t{i}"))
+                parts.append(units(F.coalesce(F.sum(cents(F.col(column).try_cast("double"))), F.lit(0))).alias(f"t{i}"))
                 actual = F.col(f"t{i}")
             else:
                 actual = F.lit(0.0)

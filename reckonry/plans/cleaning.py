@@ -163,9 +163,9 @@ _PROPOSALS = """
 
 @query("R8 O9", _PROPOSALS + """
     select dataset_version, group_key, confidence, materiality from q
-    order by case confidence when 'low' then 0 when 'medium' then 1 else 2 end, materiality desc, affected_rows desc, group_key limit 100""")
+    order by case confidence when 'low' then 0 when 'medium' then 1 else 2 end, materiality desc, affected_rows desc, group_key""")
 def ranked_proposals(t: Tables):
-    return R.rank(_proposals(t)).limit(100).select("dataset_version", "group_key", "confidence", "materiality")
+    return R.rank(_proposals(t)).select("dataset_version", "group_key", "confidence", "materiality")
 
 
 @query("R9", _PROPOSALS + """

@@ -32,12 +32,9 @@ def version_origins(t: Tables):
 
 
 @query("S7", _MANIFEST + """
-    , x as (select d, max(v) as v from m where d = (select min(o_custkey) from orders) group by 1)
-    select m.v as version_id, 'cleaned' as kind, (select max(no) from m m2 where m2.d = m.d) - no as steps from m join x using (d)""")
+    select a.v as version_id, b.v as ancestor, 'cleaned' as kind, a.no - b.no as steps from m a join m b on a.d = b.d and b.no <= a.no""")
 def version_ancestry(t: Tables):
-    m = manifest(t)
-    one = t.orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("v")).orderBy("o_custkey").first()
-    return V.ancestry(m, one.v)
+    return V.ancestry(manifest(t))
 
 
 @query("S8", _MANIFEST + """

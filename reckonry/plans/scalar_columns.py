@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from reckonry.functions import scalars as S
 from reckonry.functions import text as T
 from reckonry.plans.catalog import Tables, query
-from reckonry.plans.sums import cents
+from reckonry.plans.sums import money_sum_or_zero
 
 
 def spelled_prices(t: Tables):
@@ -49,7 +49,7 @@ def number_spellings(t: Tables):
     ).agg(
         F.count("number").alias("readable"),
         F.count_if(F.col("number").isNull()).alias("unreadable"),
-        (F.coalesce(F.sum(cents(F.col("number.value"))), F.lit(0)) / 100.0).alias("total"),
+        money_sum_or_zero(F.col("number.value")).alias("total"),
     )
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from reckonry.operators.query import answer
 from reckonry.plans.catalog import Tables, query
-from reckonry.plans.sums import cents
 
 
 def _rounded(df, **places):
@@ -84,7 +83,7 @@ def structured_global_median(t: Tables):
 @query("Q8 Q13 Q7", """
     select user_id, event_type, round(median(value), 4) as median_value, count(value) as count_value
     from events where value is not null group by user_id, event_type
-    order by count_value desc, user_id, event_type limit 1000""")
+    order by count_value desc, user_id, event_type""")
 def structured_grouped_median(t: Tables):
     spec = {"select": [{"column": "value", "agg": "median"}, {"column": "value", "agg": "count"}],
             "group_by": ["user_id", "event_type"],
@@ -93,49 +92,38 @@ def structured_grouped_median(t: Tables):
     return _rounded(answer(t.events, spec).rows, median_value=4)
 
 
-@query("Q12", """
-    with numbered as (
-      select o_orderpriority, o_orderkey,
-             row_number() over (partition by o_orderpriority order by o_orderkey) as n from orders)
-    select o_orderpriority, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as source_rows,
-           count(*) as refs
-    from numbered where n <= 200 group by o_orderpriority""")
+@query("Q12", "select o_orderpriority, o_orderkey as source_row from orders where o_totalprice > 100000")
 def structured_row_refs(t: Tables):
     dataset = t.orders.withColumnRenamed("o_orderkey", "__source_row")
-    refs = answer(dataset, {"select": [{"column": "o_totalprice", "agg": "sum"}],
-                            "group_by": ["o_orderpriority"]}).refs
-    return refs.select(
-        "o_orderpriority",
-        F.concat_ws(",", F.transform("source_rows", lambda r: r.cast("string"))).alias("source_rows"),
-        F.size("source_rows").cast("long").alias("refs"),
-    )
+    return answer(dataset, {"select": [{"column": "o_totalprice", "agg": "sum"}], "group_by": ["o_orderpriority"],
+                            "filters": [{"column": "o_totalprice", "op": "gt", "value": 100000}]}).refs
 
 
 @query("Q3 Q8 Q9", """
-    select p_brand, count(*) as parts, sum(cast(round(p_retailprice * 100) as bigint)) as cents
+    select p_brand, count(*) as parts, cast(sum(cast(p_retailprice as decimal(18, 4))) as double) as total
     from part where p_size > 10 and p_size <= 40 and p_type = 'ECONOMY' group by p_brand
     order by parts desc, p_brand limit 10""")
 def structured_top_groups(t: Tables):
-    dataset = t.part.withColumn("cents", cents(F.col("p_retailprice")))
-    return answer(dataset, {
-        "select": [{"agg": "count", "alias": "parts"}, {"column": "cents", "agg": "sum", "alias": "cents"}],
+    dataset = t.part.withColumn("price", F.col("p_retailprice").cast("decimal(18, 4)"))
+    rows = answer(dataset, {
+        "select": [{"agg": "count", "alias": "parts"}, {"column": "price", "agg": "sum", "alias": "total"}],
         "group_by": ["p_brand"],
         "filters": [{"column": "p_size", "op": "gt", "value": 10}, {"column": "p_size", "op": "lte", "value": 40},
                     {"column": "p_type", "op": "eq", "value": "ECONOMY"}],
         "order_by": [{"column": "parts", "direction": "desc"}, "p_brand"],
         "limit": 10,
     }).rows
+    return rows.withColumn("total", F.col("total").cast("double"))
 
 
 @query("Q15", """
-    select 'o_orderpriority' as grouped_by, count(distinct o_orderpriority) as row_count, count(*) as orders,
-           least(count(distinct o_orderpriority) * 200, count(*)) > 0 as has_refs from orders""")
+    select 'o_orderpriority' as grouped_by, o_orderpriority, count(*) as orders, count(*) over () as row_count,
+           (select count(*) from orders) as ref_count
+    from orders group by o_orderpriority""")
 def structured_run_record(t: Tables):
-    """One recorded run: the question, its rows, the rows behind them."""
+    """One recorded run: the question, and its rows and references as its files hold them."""
     dataset = t.orders.withColumnRenamed("o_orderkey", "__source_row")
     record = answer(dataset, {"select": [{"agg": "count", "alias": "orders"}], "group_by": ["o_orderpriority"]}).run_record(t.spark)
-    rows = F.from_json("result", "array<struct<orders:bigint>>")
-    total = F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r["orders"])
-    return record.select(
-        F.get_json_object("spec", "$.group_by[0]").alias("grouped_by"), "row_count", total.alias("orders"),
-        (F.length("row_refs") > 2).alias("has_refs"))
+    rows = t.spark.read.parquet(record.first()["result_path"])
+    return rows.crossJoin(F.broadcast(record)).select(  # the record is one row
+        F.get_json_object("spec", "$.group_by[0]").alias("grouped_by"), "o_orderpriority", "orders", "row_count", "ref_count")

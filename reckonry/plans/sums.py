@@ -8,20 +8,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def cents(c: Column) -> Column:
-    """Money as whole cents: long arithmetic is exact, fast and order-independent."""
-    return F.round(c.cast("double") * 100).cast("long")
+    """Money in cents as a decimal, parts of a cent included: sums are exact and order-independent.
+
+    Nothing is rounded before it is summed; ``units`` rounds the result.
+    """
+    return c.cast("decimal(30, 8)") * 100
+
+
+def units(total: Column, places: int = 2) -> Column:
+    """A total of cents as money, rounded once."""
+    return F.round((total / 100).cast("decimal(38, 10)"), places).cast("double")
 
 
 def money_sum(c: Column) -> Column:
-    return F.sum(cents(c)) / 100.0
+    return units(F.sum(cents(c)))
 
 
 def money_sum_or_zero(c: Column) -> Column:
-    return F.coalesce(F.sum(cents(c)), F.lit(0)) / 100.0
+    return F.coalesce(money_sum(c), F.lit(0.0))
 
 
 def money_avg(c: Column, places: int = 4) -> Column:
-    return F.round(F.sum(cents(c)) / (100.0 * F.nullif(F.count(c), F.lit(0))), places)
+    return F.round(F.sum(cents(c)).cast("double") / (100.0 * F.nullif(F.count(c), F.lit(0))), places)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,7 @@ def delimiter_of(text: str) -> str:
 
 
 def _grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(sys.maxsize)  # a cell may be of any length
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             text = decode(bytes(content))
@@ -48,9 +50,10 @@ def _grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_cells(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """One file is one task's work; Spark spreads the files.
+    """One file is one task's work, held in memory there; Spark spreads the files.
 
-    For large well-formed files use ``spark.read.csv``, which splits them.
+    Meant for many exports of ordinary size: ``binaryFile`` itself refuses files near 2 GB. Large
+    well-formed files go to ``spark.read.csv``, which splits them; the caller chooses.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(_grids, CELLS_SCHEMA)

@@ -7,6 +7,7 @@ kind, path, row_count, column_hash, created_at.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,26 +60,40 @@ def source_uploads(manifest: DataFrame) -> DataFrame:
     Each round doubles how far up every version can see, so a chain of n
     versions takes log2(n) joins, and a cycle simply never resolves.
     """
-    look = stage(manifest.select("version_id", F.when(F.col("upload_id").isNull(), F.col("parent_version_id")).alias("up"), "upload_id"), "lineage")
+    look = manifest.select("version_id", F.when(F.col("upload_id").isNull(), F.col("parent_version_id")).alias("up"), "upload_id")
+    settled = "upload_id is not null or up is null"
+    done = [stage(look.where(settled).select("version_id", "upload_id"), "lineage-settled")]
+    left = stage(look.where(f"not ({settled})"), "lineage-open")
     for _ in range(max(1, math.ceil(math.log2(manifest.count() + 1)))):
-        if look.where("upload_id is null and up is not null").isEmpty():
+        if left.isEmpty():
             break
-        above = look.select(F.col("version_id").alias("up"), F.col("up").alias("up2"), F.col("upload_id").alias("upload2"))
-        look = stage(look.join(above, "up", "left").select(
-            "version_id", F.col("up2").alias("up"), F.coalesce("upload_id", "upload2").alias("upload_id")), "lineage")
-    return look.select("version_id", F.col("upload_id").alias("source_upload"))
-
-
-def ancestry(manifest: DataFrame, version_id, view: str = "version_manifest") -> DataFrame:
-    """The versions above one version, nearest first, as a recursive query."""
-    manifest.select("version_id", "version_no", "parent_version_id", "kind").createOrReplaceTempView(view)
-    return manifest.sparkSession.sql(f"""
-        with recursive up(version_id, parent_version_id, kind, steps, seen) as (
-          select version_id, parent_version_id, kind, 0, array(version_id) from {view} where version_id = :start
-          union all
-          select m.version_id, m.parent_version_id, m.kind, up.steps + 1, array_append(up.seen, m.version_id)
-          from up join {view} m on m.version_id = up.parent_version_id where not array_contains(up.seen, m.version_id))
-        select version_id, kind, steps from up""", args={"start": version_id})
+        # an open version looks at what its pointer sees: one that is settled, or one still open
+        known = reduce(DataFrame.union, done).select(F.col("version_id").alias("up"), F.col("upload_id").alias("upload2"), F.lit(None).cast(left.schema["up"].dataType).alias("up2"), F.lit(True).alias("settled"))
+        above = left.select(F.col("version_id").alias("up"), F.col("upload_id").alias("upload2"), F.col("up").alias("up2"), F.lit(False).alias("settled"))
+        seen = stage(left.select("version_id", "up").join(known.union(above), "up", "left"), "lineage-round")
+        ended = "coalesce(settled, true)"
+        done.append(seen.where(ended).select("version_id", F.col("upload2").alias("upload_id")))
+        left = seen.where(f"not {ended}").select("version_id", F.col("up2").alias("up"), F.lit(None).cast(look.schema["upload_id"].dataType).alias("upload_id"))
+    lost = left.select("version_id", F.lit(None).cast(look.schema["upload_id"].dataType).alias("upload_id"))  # cycles
+    return reduce(DataFrame.union, [*done, lost]).select("version_id", F.col("upload_id").alias("source_upload"))
+
+
+def ancestry(manifest: DataFrame) -> DataFrame:
+    """(version_id, ancestor, kind of the ancestor, steps) for every version, itself at 0 steps.
+
+    Each round doubles how far the known part of every chain reaches, so chains of any length take
+    log2 rounds. In a cycle each ancestor keeps its smallest distance.
+    """
+    node = manifest.select("version_id", "parent_version_id")
+    reach = stage(node.select("version_id", F.col("version_id").alias("ancestor"), F.lit(0).cast("long").alias("steps")), "ancestry")
+    jump, length, most = stage(node.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("to")), "ancestry-jump"), 1, manifest.count()
+    while length <= most and not jump.isEmpty():
+        further = jump.join(reach.withColumnRenamed("version_id", "to"), "to").select("version_id", "ancestor", (F.col("steps") + length).alias("steps"))
+        reach = stage(reach.union(further).groupBy("version_id", "ancestor").agg(F.min("steps").alias("steps")), "ancestry")
+        jump = stage(jump.join(jump.select(F.col("version_id").alias("to"), F.col("to").alias("next")), "to").select("version_id", F.col("next").alias("to")), "ancestry-jump")
+        length *= 2
+    kinds = manifest.select(F.col("version_id").alias("ancestor"), "kind")
+    return reach.join(kinds, "ancestor").select("version_id", "ancestor", "kind", "steps")
 
 
 def provenance(manifest: DataFrame, uploads: DataFrame, proposals: DataFrame) -> DataFrame:
