@@ -81,39 +81,47 @@ def classify(df: DataFrame, account: Column, description: Column, hint: Column)
 # ---------------------------------------------------------------- sheets
 
 
-def detect_columns(meta: DataFrame, override: dict[str, str] | None = None) -> dict[str, str]:
-    """Role -> column for one sheet; ``meta(column, source_header, inferred_type, position)``.
+def column_roles(meta: DataFrame, keys: list[str] | None = None, override: dict[str, str] | None = None) -> DataFrame:
+    """(keys, role, column) for every sheet in ``meta(keys, column, source_header, inferred_type, position)``.
 
-    Reads the sheet's column list (one row per column) to the driver.
+    Every column is a candidate for each role that one of its words names, ranked by role, then equal
+    headers before those that begin with or contain a word, then position; columns of the right type
+    come last for the date and, where no money role is filled, the amount. One pass over a sheet's
+    ranked candidates takes each whose role and column are both free. All sheets go at once.
     """
-    facts = meta.orderBy("position").collect()
-    headers = {r["column"]: (r["source_header"] or r["column"]).lower().strip() for r in facts}
-    roles: dict[str, str] = {}
-    for role, column in (override or {}).items():
-        if column and column not in headers:
-            raise LedgerError(f"the column map names {column!r} for {role}; columns found: {', '.join(sorted(headers))}")
-        if column:
-            roles[role] = column
-    free = [c for c in headers if c not in roles.values()]
-
-    def fits(header: str, words) -> bool:
-        return bool(header) and any(header == w or w in header.split() or header.startswith(w) for w in words)
-
-    for role, words in fv.COLUMN_ROLES:
-        if role in roles:
-            continue
-        exact = [c for c in free if headers[c] in words]
-        loose = [c for c in free if fits(headers[c], words)]
-        if exact or loose:
-            roles[role] = (exact or loose)[0]
-            free.remove(roles[role])
-    if "date" not in roles:
-        typed = [r["column"] for r in facts if r["inferred_type"] == "date"]
-        roles |= {"date": typed[0]} if typed else {}
-    if not {"amount", "income", "expense"} & roles.keys():
-        typed = [r["column"] for r in facts if r["inferred_type"] == "number" and r["column"] != roles.get("quantity")]
-        roles |= {"amount": typed[0]} if typed else {}
-    return roles
+    keys = keys or []
+    header = F.lower(F.trim(F.coalesce(F.nullif("source_header", F.lit("")), "column")))
+    facts = meta.select(*keys, "column", header.alias("header"), "inferred_type", F.col("position").cast("long").alias("position"))
+
+    def entry(rank, column, role, inexact=F.lit(0), position=F.lit(0).cast("long"), fits=F.lit(True)) -> Column:
+        return F.when(fits, F.struct(F.lit(rank).alias("rank"), inexact.alias("inexact"), position.alias("position"), F.lit(role).alias("role"), column.alias("column")))
+
+    found = []
+    for rank, (role, words) in enumerate(fv.COLUMN_ROLES):
+        exact = F.col("header").isin(*words)
+        near = reduce(lambda a, b: a | b, [F.col("header").startswith(w) | F.array_contains(F.split("header", r"\s+"), w) for w in words])
+        found.append(entry(rank, F.col("column"), role, F.when(exact, 0).otherwise(1), F.col("position"), exact | near))
+    for rank, role, kind in ((100, "date", "date"), (101, "amount", "number")):
+        found.append(entry(rank, F.col("column"), role, position=F.col("position"), fits=F.col("inferred_type") == kind))
+    ranked = facts.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    given = [entry(-1, F.lit(column), role) for role, column in (override or {}).items() if column]
+    start = F.array(*given) if given else F.array().cast(ranked.schema["cs"].dataType)
+
+    def taken(state: Column, c: Column) -> Column:
+        money = (c["rank"] == 101) & F.exists(state, lambda x: x["role"].isin("amount", "income", "expense"))
+        return money | F.exists(state, lambda x: (x["role"] == c["role"]) | (x["column"] == c["column"]))
+
+    filled = F.aggregate("cs", start, lambda state, c: F.when(taken(state, c), state).otherwise(F.concat(state, F.array(c))))
+    return ranked.select(*keys, F.explode(filled).alias("r")).select(*keys, "r.role", "r.column")
+
+
+def detect_columns(meta: DataFrame, override: dict[str, str] | None = None) -> dict[str, str]:
+    """Role -> column of one sheet; a dozen rows come to the driver at most."""
+    named = [c for c in (override or {}).values() if c]
+    lost = sorted(set(named) - {r["column"] for r in meta.where(F.col("column").isin(*named)).select("column").collect()}) if named else []
+    if lost:
+        raise LedgerError(f"the sheet has no column {', '.join(map(repr, lost))}")
+    return {r["role"]: r["column"] for r in column_roles(meta, override=override).collect()}
 
 
 def sheet_shape(roles: dict[str, str]) -> str:

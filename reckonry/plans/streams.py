@@ -59,18 +59,13 @@ def stream_degradation(t: Tables):
 
 
 @query("ST1 ST2 E10", """
-    select 'user:' || user_id as source_ref, max_by(event_id, event_id) as reading, max(event_id // 1000) as sync from events group by 1""")
+    select 'user:' || user_id as source_ref, max(event_id) as reading, max(event_id // 1000) as sync from events group by 1""")
 def stream_ledger_sync(t: Tables):
-    """Events as ledger readings per user, arriving a thousand ids at a time."""
+    """Events as ledger readings per user, a thousand ids to a file; files arrive in any order."""
     readings = t.events.select(
         F.concat(F.lit("user:"), "user_id").alias("source_ref"), F.col("event_id").alias("reading"), F.expr("event_id div 1000").alias("sync"))
-    newest = readings.groupBy("source_ref", "sync").agg(F.max("reading").alias("reading"))
     files = f"{_path(t)}/in"
-    newest.repartitionByRange(F.col("sync")).sortWithinPartitions("sync").write.partitionBy("sync").parquet(files)
-    schema = "source_ref string, reading long, sync long"
-    root = _path(t)
-    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(files)
-    # Files arrive in no fixed order, so a reading carries its own sync number.
-    done = ST.sync_ledger(stream.select(F.concat_ws("@", "source_ref", F.col("sync").cast("string")).alias("source_ref"), "reading", "sync"), root)
-    return done.groupBy(F.substring_index("source_ref", "@", 1).alias("source_ref")).agg(
-        F.max_by("reading", "sync").alias("reading"), F.max("sync").alias("sync"))
+    readings.groupBy("source_ref", "sync").agg(F.max("reading").alias("reading")).repartitionByRange(F.col("sync")).sortWithinPartitions(
+        "sync").write.partitionBy("sync").parquet(files)
+    stream = t.spark.readStream.schema("source_ref string, reading long, sync long").option("maxFilesPerTrigger", 2).parquet(files)
+    return ST.sync_ledger(stream, _path(t), "sync")

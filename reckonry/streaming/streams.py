@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reckonry.functions import fixed_values as fv
 from reckonry.operators.ledger import merge_batches
 from reckonry.operators.retail import period_start
-from reckonry.sources.versions import VersionMissing, read_version
 
 LATE = f"{fv.SYNC_OVERLAP_DAYS} days"
 
@@ -57,30 +58,40 @@ def run_updates(result: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return written.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("u")).select(*keys, *[F.col(f"u.{c}") for c in rest])
 
 
-def _version_path(root: str, number: int) -> str:
-    return f"{root}/v={number}"
+def sync_ledger(entries: DataFrame, root: str, order: str) -> DataFrame:
+    """Drain a stream of ledger readings now; the newest reading of each source_ref by ``order`` counts.
 
+    Each micro-batch lands in a folder of its own, so a batch costs what it brings, and one that is run
+    again after a failure writes the same folder again. Readings may come in any order: ``order`` is the
+    reading's own time or number. A restart without new data returns what is there.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/readings/batch={number}")
 
-def merge_into_version(spark: SparkSession, batch: DataFrame, number: int, root: str) -> None:
-    """Version ``number`` = version ``number - 1`` with this batch's readings on top."""
-    fresh = batch.withColumn("batch_no", F.lit(number).cast("long"))
-    if number > 0:
-        try:
-            fresh = read_version(spark, _version_path(root, number - 1)).unionByName(fresh)
-        except VersionMissing:
-            if number > 1:
-                raise
-    merge_batches(fresh).write.mode("overwrite").option("compression", "zstd").parquet(_version_path(root, number))
+    run = entries.writeStream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    return synced_ledger(entries.sparkSession, root, order, entries.schema)
 
 
-def sync_ledger(entries: DataFrame, root: str) -> DataFrame:
-    """Stream ledger entries into versions, newest reading per source_ref winning; returns the last version."""
-    spark, seen = entries.sparkSession, []
+def synced_ledger(spark: SparkSession, root: str, order: str, schema: StructType) -> DataFrame:
+    """The ledger that the readings under ``root`` add up to."""
+    readings = _readings(spark, root, schema)
+    return merge_batches(readings.withColumn("batch_no", F.struct(order, "batch"))).drop("batch_no", "batch")
 
-    def write(batch: DataFrame, number: int) -> None:
-        merge_into_version(batch.sparkSession, batch, number, root)
-        seen.append(number)
 
-    run = entries.writeStream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).foreachBatch(write).start()
-    run.awaitTermination()
-    return read_version(spark, _version_path(root, max(seen)))
+def sync_figures(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """One row: readings that came, entries kept, and readings that a newer one replaced."""
+    named = F.coalesce(F.col("source_ref"), F.lit("")) != ""
+    per = _readings(spark, root, schema).groupBy(F.when(named, F.col("source_ref")).alias("ref")).agg(F.count("*").alias("n"))
+    kept = F.coalesce(F.sum(F.expr("if(ref is null, n, 1)")), F.lit(0))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("readings"), kept.alias("kept")).withColumn("replaced", F.col("readings") - F.col("kept"))
+
+
+def _readings(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    wide = StructType([*schema.fields, StructField("batch", LongType())])
+    try:
+        return spark.read.schema(wide).option("basePath", f"{root}/readings").parquet(f"{root}/readings")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], wide)

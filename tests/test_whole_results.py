@@ -1,9 +1,10 @@
 """Nothing is cut, rounded early or overflows; one case for each way in which it once did."""
 
-from reckonry.operators import analytics as A, grid as G, profile as D
+from reckonry.operators import analytics as A, grid as G, ledger as E, profile as D
 from reckonry.operators.query import answer
 from reckonry.sources import versions as V
 from reckonry.sources.delimited import read_cells
+from reckonry.streaming import streams as ST
 
 
 def test_parts_of_a_cent_add_up(spark):
@@ -60,3 +61,29 @@ def test_each_sheet_keeps_its_own_date_order(spark):
     table = books.table(signature=signatures.pop())
     first = {r["file"]: str(r["date"]) for r in table.where("__source_row = 2").collect()}
     assert first == {"day.csv": "2026-02-05", "month.csv": "2026-05-02"}
+
+
+def test_ledger_sync_in_any_order(spark, tmp_path):
+    schema = "source_ref string, reading int, amount int"
+    for name, rows in (("b", [("x", 2, 250), ("y", 2, 9)]), ("a", [("x", 1, 300), ("", 1, 5)]), ("c", [("y", 1, 8), ("", 2, 5)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def sync():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return sorted(map(tuple, ST.sync_ledger(stream, f"{tmp_path}/ledger", "reading").collect()))
+
+    want = [("", 1, 5), ("", 2, 5), ("x", 2, 250), ("y", 2, 9)]
+    assert sync() == want and sync() == want  # and again with nothing new
+    figures = ST.sync_figures(spark, f"{tmp_path}/ledger", spark.createDataFrame([], schema).schema).first()
+    assert (figures.readings, figures.kept, figures.replaced) == (6, 4, 2)
+
+
+def test_roles_of_many_sheets(spark):
+    meta = spark.createDataFrame([
+        (1, "a", "Date", "date", 0), (1, "b", "Total sales", "number", 1), (1, "c", "Cost of goods", "number", 2), (1, "d", "Memo", "text", 3),
+        (2, "a", "When", "date", 0), (2, "b", "Figure", "number", 1), (2, "c", "Qty", "number", 2)], "sheet int, column string, source_header string, inferred_type string, position int")
+    got = {}
+    for r in E.column_roles(meta, ["sheet"]).collect():
+        got.setdefault(r.sheet, {})[r.role] = r.column
+    assert got == {1: {"date": "a", "income": "b", "expense": "c", "description": "d"}, 2: {"date": "a", "quantity": "c", "amount": "b"}}
+    assert E.detect_columns(meta.where("sheet = 2"), {"amount": "c"}) == {"amount": "c", "date": "a"}
