@@ -1,15 +1,14 @@
 """Exact quantiles without gathering a group in one task.
 
-Spark's ``median``/``percentile`` keep every distinct value of a group in one
-aggregation buffer.  Here each round cuts the value range of a group into
-equal bins, counts per bin (partial aggregation does the work before the
-shuffle) and keeps only the bins that hold a wanted rank.  After two rounds
-the survivors are few, and one small window reads the ranks off.
-Bins follow from min and max alone, so a recomputed task gives the same answer.
+Spark's ``median``/``percentile`` keep every distinct value of a group in one aggregation buffer. Here
+equal values fold into counted ones first, in one pass over the data. Where a group still has more
+than ``KINDS`` distinct values in reach of a wanted rank, a round cuts their range into equal bins,
+counts per bin (partial aggregation does the work before the shuffle) and keeps the bin that holds the
+rank; rounds go on until every bin left is that small, so the last window is bounded whatever the
+values' spread. Bins follow from min and max alone, so a recomputed task gives the same answer.
 
-Each round's spans (a few rows per group) are written to the checkpoint folder:
-the data is read once per round, and Spark knows the spans' size when it picks
-between broadcasting them and shuffling both sides.
+The folded values and each round's spans (a few rows per group) are written to the checkpoint folder,
+so Spark knows the spans' size when it picks between broadcasting them and shuffling both sides.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from reckonry.plans.staging import stage
 from reckonry.plans.sums import join_null_safe
 
 BINS = 4096
+#: Distinct values that a last window may hold.
+KINDS = 4096
 
 
 def _position(n: Column, q: float, exclusive: bool) -> Column:
@@ -36,7 +37,7 @@ def _narrow(data: DataFrame, spans: DataFrame, groups: list[str]) -> DataFrame:
         F.least(F.floor((F.col("v") - F.col("lo")) / width * BINS), F.lit(BINS - 1))
     )
     hist = inside.groupBy(*groups, "lo", "hi", bin_no.alias("bin")).agg(
-        F.sum("w").alias("cnt"), F.min("v").alias("bin_lo"), F.max("v").alias("bin_hi")
+        F.sum("w").alias("cnt"), F.min("v").alias("bin_lo"), F.max("v").alias("bin_hi"), F.count(F.lit(1)).alias("bin_kinds")
     )
     order = Window.partitionBy(*groups, "lo", "hi").orderBy("bin")
     hist = hist.withColumn("start", F.sum("cnt").over(order) - F.col("cnt"))
@@ -45,7 +46,7 @@ def _narrow(data: DataFrame, spans: DataFrame, groups: list[str]) -> DataFrame:
     )
     return found.select(
         *groups, "target", F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"),
-        (F.col("rank") - F.col("start")).alias("rank"),
+        (F.col("rank") - F.col("start")).alias("rank"), F.col("bin_kinds").alias("kinds"),
     )
 
 
@@ -55,11 +56,10 @@ def exact_quantiles(
     """One row per group: the groups, ``n`` and one interpolated quantile per wanted name."""
     keys = groups or ["__all"]
     base = df if groups else df.withColumn("__all", F.lit(0))
-    data = base.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("v"), F.lit(1).cast("long").alias("w")
-    )
+    data = stage(base.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("w")), "values")
     spans_all = stage(data.groupBy(*keys).agg(
-        F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("kinds")
     ), "spans")
     n = F.col("n")
     targets = []
@@ -69,13 +69,15 @@ def exact_quantiles(
             F.struct(F.lit(f"{name}/low").alias("target"), F.floor(at).alias("rank")),
             F.struct(F.lit(f"{name}/high").alias("target"), F.ceil(at).alias("rank")),
         ]
-    spans = spans_all.select(*keys, "lo", "hi", F.inline(F.array(*targets)))
-    for _ in range(2):
+    spans = spans_all.select(*keys, "lo", "hi", "kinds", F.inline(F.array(*targets)))
+    widest, before = spans.agg(F.sum("kinds"), F.max("kinds")).first(), None
+    while (widest[1] or 0) > KINDS and widest != before:  # the least and the greatest part in every round
         spans = stage(_narrow(data, spans, keys), "spans")
+        widest, before = spans.agg(F.sum("kinds"), F.max("kinds")).first(), widest
 
     narrow = spans.select(*keys, "lo", "hi").distinct()
     left = join_null_safe(data, narrow, keys, "inner").where(F.col("v").between(F.col("lo"), F.col("hi")))
-    values = left.groupBy(*keys, "lo", "hi", "v").agg(F.sum("w").alias("cnt"))
+    values = left.withColumnRenamed("w", "cnt")
     order = Window.partitionBy(*keys, "lo", "hi").orderBy("v")
     values = values.withColumn("start", F.sum("cnt").over(order) - F.col("cnt"))
     picked = join_null_safe(spans, values, [*keys, "lo", "hi"], "inner").where(

@@ -1,6 +1,7 @@
 """Nothing is cut, rounded early or overflows; one case for each way in which it once did."""
 
 from reckonry.operators import analytics as A, grid as G, ledger as E, profile as D
+from reckonry.operators import order_statistics as Q
 from reckonry.operators.query import answer
 from reckonry.sources import versions as V
 from reckonry.sources.delimited import read_cells
@@ -87,3 +88,14 @@ def test_roles_of_many_sheets(spark):
         got.setdefault(r.sheet, {})[r.role] = r.column
     assert got == {1: {"date": "a", "income": "b", "expense": "c", "description": "d"}, 2: {"date": "a", "quantity": "c", "amount": "b"}}
     assert E.detect_columns(meta.where("sheet = 2"), {"amount": "c"}) == {"amount": "c", "date": "a"}
+
+
+def test_quantiles_of_a_heavy_tail(spark, monkeypatch):
+    monkeypatch.setattr(Q, "KINDS", 50)
+    values = [1.0 + k / 7 for k in range(3000)] + [10.0 ** k for k in range(30)] + [5.5] * 400
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = sorted(values)
+    got = Q.exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.9}).first()
+    assert got.n == len(values) and got.m == (want[len(want) // 2 - 1] + want[len(want) // 2]) / 2
+    at = (len(want) - 1) * 0.9
+    assert abs(got.q - (want[int(at)] + (want[int(at) + 1] - want[int(at)]) * (at - int(at)))) < 1e-9
