@@ -179,7 +179,7 @@ def _key_totals(counted: DataFrame, keys: list[str], side: str) -> DataFrame:
     rows, amount = F.col(f"rows_{side}"), F.col(f"amount_{side}")
     return counted.groupBy(*keys).agg(
         F.sum(rows).alias(f"n_{side}"),
-        F.count(F.lit(1)).alias(f"kinds_{side}"),
+        F.count(F.lit(1)).alias(f"kinds_{side}"), F.min(amount).alias(f"low_{side}"), F.max(amount).alias(f"high_{side}"),
         F.coalesce(F.sum(F.when(amount.isNotNull(), rows)), F.lit(0)).alias(f"filled_{side}"),
         F.coalesce(F.sum(cents(amount) * rows), F.lit(0)).alias(f"cents_{side}"),
     )
@@ -192,6 +192,11 @@ def reconcile_matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str)
     several different amounts for one key, one line carries the totals over all
     their pairs (``many_to_many``), so output stays linear in the input.
     """
+    return _matched(a, b, keys, amount).drop("widest")
+
+
+def _matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    """``widest`` is the largest difference of any pair that a line stands for."""
     _check_sides(a, b, [*keys, amount])
     left, right = _per_key(a, keys, amount, "a"), _per_key(b, keys, amount, "b")
     both = _key_totals(left, keys, "a").join(_key_totals(right, keys, "b"), keys)
@@ -201,7 +206,7 @@ def reconcile_matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str)
         *keys, "amount_a", "amount_b",
         (F.col("amount_a") - F.col("amount_b")).alias("difference"),
         (F.col("rows_a") * F.col("rows_b")).alias("pairs"),
-        F.lit(False).alias("many_to_many"),
+        F.lit(False).alias("many_to_many"), F.abs(F.col("amount_a") - F.col("amount_b")).alias("widest"),
     )
     total_a = units(F.col("cents_a") * F.col("filled_b"))
     total_b = units(F.col("cents_b") * F.col("filled_a"))
@@ -210,6 +215,7 @@ def reconcile_matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str)
         (total_a - total_b).alias("difference"),
         (F.col("n_a") * F.col("n_b")).alias("pairs"),
         F.lit(True).alias("many_to_many"),
+        F.greatest(F.col("high_a") - F.col("low_b"), F.col("high_b") - F.col("low_a")).alias("widest"),
     )
     return lines.unionByName(totals)
 
@@ -278,9 +284,9 @@ def reconcile_summary(
 def reconcile_examples(
     a: DataFrame, b: DataFrame, keys: list[str], amount: str, tolerance: float = 0.01, n: int = 10
 ) -> DataFrame:
-    """Ten example lines per bucket, lowest keys first."""
-    differing = reconcile_matched(a, b, keys, amount).where(
-        F.abs(F.coalesce("difference", F.lit(0.0))) > tolerance
+    """Ten example lines per bucket, lowest keys first; a key differs if any of its pairs does, also where totals cancel."""
+    differing = _matched(a, b, keys, amount).where(
+        F.coalesce("widest", F.lit(0.0)) > tolerance
     ).orderBy(*keys, "amount_a", "amount_b").limit(n)
     sides = [differing.select(F.lit("differing").alias("bucket"), *keys, "amount_a", "amount_b")]
     for name, x, y in (("only_in_a", a, b), ("only_in_b", b, a)):

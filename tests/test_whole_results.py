@@ -99,3 +99,9 @@ def test_quantiles_of_a_heavy_tail(spark, monkeypatch):
     assert got.n == len(values) and got.m == (want[len(want) // 2 - 1] + want[len(want) // 2]) / 2
     at = (len(want) - 1) * 0.9
     assert abs(got.q - (want[int(at)] + (want[int(at) + 1] - want[int(at)]) * (at - int(at)))) < 1e-9
+
+
+def test_examples_show_keys_whose_totals_cancel(spark):
+    a, b = (spark.createDataFrame([("k", v) for v in vs] + [("same", 5.0)], "k string, v double") for vs in ((1.0, 9.0), (2.0, 8.0)))
+    assert A.reconcile_summary(a, b, ["k"], "v").first().matched_with_difference == 4
+    assert [r.k for r in A.reconcile_examples(a, b, ["k"], "v").where("bucket = 'differing'").collect()] == ["k"]
