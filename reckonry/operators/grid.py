@@ -294,6 +294,15 @@ def table_summary(rows: DataFrame, headers: DataFrame, columns: DataFrame) -> Da
         F.substring(F.sha2(F.concat_ws("|", "names"), 256), 1, 32).alias("column_hash"))
 
 
+def outcomes(cells: DataFrame, headers: DataFrame, summary: DataFrame) -> DataFrame:
+    """One row for every sheet: its header row and data rows, or why no table was found in it."""
+    sheets = cells.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("rows"))
+    known = sheets.join(headers.select(*SHEET, "header_row"), SHEET, "left").join(summary.select(*SHEET, "data_rows"), SHEET, "left")
+    reason = F.when(F.col("header_row").isNull(), f"none of the first {fv.HEADER_SEARCH_ROWS} rows reads as a header").when(
+        F.col("data_rows").isNull(), "no data below the header")
+    return known.select(*SHEET, "rows", "header_row", F.coalesce("data_rows", F.lit(0)).alias("data_rows"), reason.alias("reason"))
+
+
 def primary_tables(summary: DataFrame) -> DataFrame:
     """The sheet with most rows per file, then the more confident one."""
     return summary.groupBy("file").agg(F.max(F.struct("data_rows", "confidence", "sheet")).alias("p")).select("file", F.col("p.sheet").alias("sheet"))
@@ -358,6 +367,7 @@ class Workbooks:
         self.rows = stage(classify_rows(cells, self.headers), "rows")
         self.columns = stage(infer_columns(self.rows, self.headers), "columns")
         self.summary = table_summary(self.rows, self.headers, self.columns)
+        self.outcomes = outcomes(cells, self.headers, self.summary)
 
     def table(self, file: str | None = None, sheet: str | None = None, signature: str | None = None) -> DataFrame:
         """One sheet's table, or all sheets of one shape (``signature``) as one table."""
