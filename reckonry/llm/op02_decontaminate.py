@@ -87,4 +87,27 @@ def op2_simhash_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERY = op2_simhash_decontamination
-SQL = None
+#: Every window against every item, without fingerprints.
+SQL = r"""
+with w as (
+  select 'd' as side, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') w from documents
+  union all select 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') from benchmark
+), h as (
+  select side, id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end as h from w
+), s as (select side, id, len(h) as size, unnest(h) as g, unnest(range(len(h))) as p from h
+), al as (select distinct g, p as q, size from s where side = 'b'
+), hit as (
+  select distinct s.id, greatest(s.p - al.q, 0) as start, al.size + least(s.p - al.q, 0) as length from s join al on al.g = s.g where s.side = 'd'
+), win as (select hit.id, start, length, h.h[start + 1:start + length] as v from hit join h on h.id = hit.id and h.side = 'd'
+), wg as (select id, start, length, g, count(*) as c from (select id, start, length, unnest(v) as g from win) group by all
+), bg as (select id as item_id, g, count(*) as c from s where side = 'b' group by all
+), both_ as (
+  select wg.id, wg.start, wg.length, bg.item_id, sum(least(wg.c, bg.c)) as k from wg join bg on bg.g = wg.g group by all
+), j as (
+  select b.id as doc_id, b.item_id, b.start, b.k::double / (len(win.v) + len(i.h) - b.k) as similarity
+  from both_ b join win on win.id = b.id and win.start = b.start and win.length = b.length join h i on i.side = 'b' and i.id = b.item_id
+  where 100 * b.k >= 80 * (len(win.v) + len(i.h) - b.k)
+)
+select doc_id, item_id, arg_min(start, (-similarity, start))::bigint as start_word, max(similarity) as similarity from j group by all
+"""

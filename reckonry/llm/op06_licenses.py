@@ -111,5 +111,29 @@ def op6_license_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return licenses(spark.read.parquet(f"{folder}/documents.parquet"), templates_of(spark))
 
 
+def _sql(templates: tuple[tuple[str, str], ...]) -> str:
+    """Shares of template shingles in the same windows, without minima."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
+    return rf"""
+with t(template, license, text) as (values {rows}), w as (
+  select 'd' as side, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') w from documents
+  union all select 't', template, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') from t
+), s as (
+  select side, id, unnest(h) as g, unnest(range(len(h))) as p from (
+    select side, id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end as h from w)
+), n as (select id, count(distinct g) as n, pow(2, ceil(log2(count(distinct g))))::bigint as width from s where side = 't' group by 1
+), tg as (select distinct s.id, s.g, n.n, n.width from s join n on n.id = s.id where s.side = 't'
+), hit as (
+  select s.id as doc_id, tg.id as template, tg.n, tg.g,
+    unnest(case when tg.width = 1 then [s.p] else [(s.p // tg.width) * tg.width, (s.p // tg.width - 1) * tg.width] end) as first
+  from s join tg on tg.g = s.g where s.side = 'd'
+), c as (select doc_id, template, first, count(distinct g)::double / n as containment from hit where first >= 0 group by doc_id, template, first, n)
+select doc_id, license, max(containment) as containment, arg_min(first, (-containment, first))::bigint as at_word
+from c join t on t.template = c.template where 100 * containment >= {LEAST} group by doc_id, license
+"""
+
+
 QUERY = op6_license_minhash
-SQL = None
+SQL = _sql(TEMPLATES)
