@@ -113,5 +113,56 @@ def op3_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return judge(labelled(pages, labels))
 
 
+def _sql() -> str:
+    """The same tree level by level, with the rules as a chain of conditions."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda h, p: f"(u.host = '{h}' or ends_with(u.host, '.{h}')) and starts_with(u.path, '{p}')"
+    rule = "case " + " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in rules) + " end"
+    said = "case " + " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p in rules) + " end"
+    levels, weight = "", f"{PRIOR_WEIGHT}::double"
+    for k in range(1, LEVELS + 1):
+        levels += f""", c{k} as (
+  select prefix, segments[{k}] as segment, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from t{k - 1} where len(segments) >= {k} group by all
+), w{k} as (select prefix, sum(n) as whole from c{k} group by 1
+), l{k} as (
+  select c.prefix, segment, (bad + {weight} * prior) / (labelled + {weight}) as share, labelled + {weight} as weight
+  from c{k} c join w{k} w on w.prefix = c.prefix, prior where n > 1 and n >= {SHARE} * whole
+), g{k} as (
+  select *, (share * weight + lag(share) over o * lag(weight) over o) / (weight + lag(weight) over o) as pooled,
+    lag(share) over o as share0, lag(weight) over o as weight0 from l{k} window o as (partition by prefix order by share, segment)
+), s{k} as (
+  select *, sum(case when share - share0 > {SIGNIFICANT}::double * sqrt(pooled * (1 - pooled) * (1 / weight + 1 / weight0)) then 1 else 0 end)
+    over (partition by prefix order by share, segment) as part from g{k}
+), b{k} as (
+  select s.prefix, s.segment, m.branch from s{k} s join (
+    select prefix, part, string_agg(segment, '|' order by segment) as branch from s{k} group by all) m on m.prefix = s.prefix and m.part = s.part
+), t{k} as (
+  select t.host, t.path, t.n, t.labelled, t.bad, t.segments,
+    case when len(t.segments) >= {k} then t.prefix || '/' || coalesce(b.branch, '*') else t.prefix end as prefix
+  from t{k - 1} t left join b{k} b on b.prefix = t.prefix and b.segment = t.segments[{k}]
+)"""
+    return rf"""
+with p as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as after from pages
+), q as (
+  select page_id, translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(after, '^[^/?#]*([^?#]*)', 1) as path from p
+), y as (select doc_id, bool_or(quality = 0 or toxic = 1) as bad from labels group by 1
+), u as (
+  select page_id, host, path, y.bad from q left join y on y.doc_id = try_cast(regexp_extract(path, '(\d{{1,18}})[^\d/]*/?\z', 1) as bigint)
+), t00 as (
+  select host, path, count(*) as n, count(bad) as labelled, coalesce(sum(bad::int), 0) as bad,
+    string_split(case when starts_with(path, '/') then substr(path, 2) else path end, '/') as whole, host as prefix from u group by host, path
+), t0 as (
+  select host, path, n, labelled, bad, prefix, case when len(whole) > {LEVELS}
+    then list_concat(whole[1:{LEVELS - 1}], [array_to_string(whole[{LEVELS}:], '/')]) else whole end as segments from t00
+), prior as (select case when sum(labelled) > 0 then sum(bad)::double / sum(labelled) else 0 end as prior from t0
+){levels}, f as (
+  select prefix, (sum(bad) + {weight} * any_value(prior)) / (sum(labelled) + {weight}) >= {REJECT} as rejected from t{LEVELS}, prior group by 1
+)
+select u.page_id, u.host, u.path, {rule} as rule, coalesce({said}, case when f.rejected then 'block' else 'allow' end) as verdict, t.prefix as template
+from u join t{LEVELS} t on t.host = u.host and t.path = u.path join f on f.prefix = t.prefix
+"""
+
+
 QUERY = op3_url_templates
-SQL = None
+SQL = _sql()
