@@ -348,15 +348,15 @@ def _model(model: str, known: dict) -> list:
     return known[model]
 
 
-def _alignment(page: str, model: str, known: dict) -> Iterator[tuple[int, bool]]:
+def _alignment(page: str, model: str, known: dict) -> list[tuple[int, bool]]:
     tree, own = _model(model, known)
     seen, _ = numbered(skeleton(parse(page)))
     out: dict[int, int] = {}
     match(seen, tree, out)
     page_hashes = dict(hashes(seen))
-    for a, b in out.items():
-        if page_hashes[a] or own[b]:
-            yield b, page_hashes[a] == own[b]
+    pairs = [(b, page_hashes[a] == own[b]) for a, b in out.items() if page_hashes[a] or own[b]]
+    # a copy of the wrapper's own page tells nothing about what varies
+    return [] if all(same for _, same in pairs) else pairs
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
