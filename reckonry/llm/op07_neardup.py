@@ -7,8 +7,10 @@
    2e-7 at 0.85 for 27 bands of 5.
 3. Members of a band bucket meet its pivots, never each other all at once. A pair counts only when
    the full sets agree. Pivots that met all others leave the bucket, members of one component need
-   no more checks, and the number of pivots doubles each round until no bucket holds two
+   no more checks, and the number of pivots grows each round until no bucket holds two
    components: every candidate pair that could still join two components has then been checked.
+   Shingles that only one set has bound its intersections from above, which spares edited copies
+   that can link with nothing, and lets the least edited one be the pivot.
 4. Components come from alternating large-star and small-star.
 
 Every round is written to the shared checkpoint folder. Nothing about documents goes to the driver
@@ -117,7 +119,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     adaptive skew joins.
     """
     edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
-    before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -126,10 +127,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = stage(small.where("u <> v").distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when every node hangs on one root and no root hangs on another
+        torn = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").union(
+            edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi"))
+        if torn.isEmpty():
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -138,8 +140,9 @@ def near_duplicates(docs: DataFrame, spec: MinHash = MinHash()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts link when ``100 * |A & B| >= percent * |A | B|`` on their shingle sets. Null and empty
-    texts have empty sets, link with nothing and are kept. Every row gives a row and is judged by
-    its own text, also where doc_id repeats. A null doc_id has a null component and is kept.
+    texts have empty sets, link with nothing and are kept. Every row gives a row, repeated ones too;
+    if one doc_id carries several texts, a link of any of them counts for it. A null doc_id has a null
+    component and is kept.
     Columns other than doc_id and text are not read.
     """
     signed = stage(signatures(docs, spec), "signatures")
@@ -163,49 +166,75 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
     banded = folded.select("rep", "n_shingles", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = stage(banded.join(shared, "band"), "members")
+    found = spark.createDataFrame([], "node long, component long")
+    if not members.head(1):
+        return found
     some = members.select("rep").distinct()
     sets = stage(shingle_sets(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, F.col("doc_id") == F.col("rep"), "left_semi"), spec)
-        .where(F.size("shingles") > 0).dropDuplicates(["doc_id", "shingles"]), "sets") if members.head(1) else None
-    edges = spark.createDataFrame([], "u long, v long")
-    found = spark.createDataFrame([], "node long, component long")
+        .where(F.size("shingles") > 0).dropDuplicates(["doc_id", "shingles"]), "sets")
+    # what a set shares with no other can't be in any intersection
+    alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")).where("rep = high").groupBy("rep").agg(F.count("*").alias("own"))
+    several = sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("rep"))  # ids with two texts
+    alone = alone.join(several, "rep", "left_anti")
+    members = members.join(alone, "rep", "left").select("band", "rep", "n_shingles", F.coalesce("own", F.lit(0)).alias("own"), F.col("rep").alias("component"),
+                                                         F.lit(False).alias("linked"))
     met = spark.createDataFrame([], "x long, y long")
-    open_members, pivots = members.withColumn("component", F.col("rep")), 1
-    while sets is not None:
-        lead = _leads(open_members, pivots, spec.seed)
-        pairs = open_members.join(lead, "band").where(
-            "component <> lead_component and 100 * least(n_shingles, lead_shingles) >= "
-            f"{spec.percent} * greatest(n_shingles, lead_shingles)"
-        ).select(F.least("rep", "lead").alias("x"), F.greatest("rep", "lead").alias("y")).distinct()
+    pivots = 1
+    while True:
+        members = stage(_torn(members, spec), "members")
+        if not members.head(1):
+            return found
+        lead = _leads(members, pivots)
+        most = "least(n_shingles - own, lead_shingles - lead_own)"
+        pairs = members.join(lead, "band").where(
+            f"component <> lead_component and 100 * {most} >= {spec.percent} * (n_shingles + lead_shingles - {most})"
+        ).select(F.least("rep", "lead").alias("x"), F.greatest("rep", "lead").alias("y"), F.least("component", "lead_component").alias("low"),
+                 F.greatest("component", "lead_component").alias("high")).distinct()
         pairs = stage(pairs.join(met, ["x", "y"], "left_anti"), "pairs")
         if pairs.head(1):
-            met = met.union(pairs)
+            met = met.union(pairs.select("x", "y"))
             a = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("one"))
             b = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("two"))
             both = F.size(F.array_intersect("one", "two"))
-            good = pairs.join(a, "x").join(b, "y").where(
-                100 * both >= spec.percent * (F.size("one") + F.size("two") - both)).select(F.col("x").alias("u"), F.col("y").alias("v"))
-            edges = stage(edges.union(good), "edges")
-            found = stage(components(edges), "found")
+            good = stage(pairs.join(a, "x").join(b, "y").where(100 * both >= spec.percent * (F.size("one") + F.size("two") - both)).select(
+                F.col("high").alias("u"), F.col("low").alias("v")).distinct(), "links")
+            if good.head(1):  # links between components so far: a small graph after the first round
+                merged = components(good)
+                moved = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+                found = stage(found.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")).union(
+                    merged.select("node", "component")).distinct(), "found")
         # pivots have met every other component's members of their buckets, so they leave
-        rest = open_members.select("band", "rep", "n_shingles").join(lead.select("band", F.col("lead").alias("rep")), ["band", "rep"], "left_anti")
-        rest = rest.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-        torn = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        open_members = stage(rest.join(torn, "band"), "members")
-        pivots *= 2
-        if not open_members.head(1):
-            break
-    return found
+        rest = members.select("band", "rep", "n_shingles", "own").join(lead.select("band", F.col("lead").alias("rep")), ["band", "rep"], "left_anti")
+        members = rest.join(found, F.col("rep") == F.col("node"), "left").select(
+            "band", "rep", "n_shingles", "own", F.coalesce("component", "rep").alias("component"), F.col("node").isNotNull().alias("linked"))
+        pivots *= 8
+
+
+def _torn(members: DataFrame, spec: MinHash) -> DataFrame:
+    """Members of buckets that hold two components, without those that can link with no other there.
+
+    A set of n shingles, ``own`` of them in no other set, meets a set of m shingles in n - own at most;
+    even with the bucket's smallest set that may be too few for the ratio.
+    """
+    small = members.groupBy("band").agg(F.min("n_shingles").alias("small"))
+    able = members.join(small, "band").where(
+        f"100 * (n_shingles - own) >= {spec.percent} * (own + greatest(small, n_shingles - own))").drop("small")
+    torn = able.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    return able.join(torn, "band")
 
 
-def _leads(members: DataFrame, pivots: int, seed: int) -> DataFrame:
-    """Up to ``pivots`` members of each bucket, in an order that all bands share, so that bands agree on them.
+def _leads(members: DataFrame, pivots: int) -> DataFrame:
+    """Up to ``pivots`` members of each bucket: those that link with nothing yet first, least of their own first.
 
-    Spark limits each bucket within the tasks before the shuffle, so a bucket of any size is safe.
+    At the start these are likely originals, later the few that stand apart. The order is the same in all bands, so bands agree. Spark limits each bucket within the tasks
+    before the shuffle, so a bucket of any size is safe.
     """
-    order = Window.partitionBy("band").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")
+    order = Window.partitionBy("band").orderBy("linked", "own", "rep")
     return members.withColumn("k", F.row_number().over(order)).where(f"k <= {pivots}").select(
-        "band", F.col("rep").alias("lead"), F.col("n_shingles").alias("lead_shingles"), F.col("component").alias("lead_component"))
+        "band", F.col("rep").alias("lead"), F.col("n_shingles").alias("lead_shingles"), F.col("own").alias("lead_own"),
+        F.col("component").alias("lead_component"))
 
 
 def op7_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
