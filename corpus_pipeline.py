@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reckonry.llm.keys import written_keys
 from reckonry.llm.op01_pieces import encode_column, public_vocabulary
 from reckonry.llm.op02_decontaminate import leaks
 from reckonry.llm.op04_quality import kept_rows
@@ -30,7 +31,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     judged = stage(near_duplicates(docs), "judged").where("doc_id is not null").groupBy("doc_id").agg(
         F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone, again = judged.where("not kept").select("doc_id"), judged.where("n > 1").select("doc_id")
+    gone, again = written_keys(judged.where("not kept").select("doc_id"), "gone"), written_keys(judged.where("n > 1").select("doc_id"), "repeated")
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     once = left.join(again, "doc_id", "left_anti")
     repeated = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(
@@ -41,7 +42,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.select(*COLUMNS).join(written_keys(found.select("doc_id").distinct(), "leaking"), "doc_id", "left_anti")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

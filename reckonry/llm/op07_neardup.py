@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reckonry.llm.batches import slices
+from reckonry.llm.keys import written_keys
 from reckonry.llm.words import mix, shingles_of, words_of
 from reckonry.plans.staging import stage
 
@@ -169,7 +170,7 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
     found = spark.createDataFrame([], "node long, component long")
     if not members.head(1):
         return found
-    some = members.select("rep").distinct()
+    some = written_keys(members.select("rep").distinct(), "candidates")
     sets = stage(shingle_sets(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, F.col("doc_id") == F.col("rep"), "left_semi"), spec)
         .where(F.size("shingles") > 0).dropDuplicates(["doc_id", "shingles"]), "sets")
