@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reckonry.llm.batches import slices
-from reckonry.llm.words import words_of
+from reckonry.llm.words import Words, words_of
 from reckonry.plans.staging import stage
 
-BLOCK, ROUNDS, LEAST, CACHED = 1 << 20, 6, 12, 400_000
+BLOCK, ROUNDS, LEAST, CACHED = 1 << 20, 6, 12, 1_500_000
 SYMBOLS = 1 << 16
 MARK = "\x01"
 
@@ -134,8 +134,12 @@ class Block:
 # ---- ids -------------------------------------------------------------------------------------
 
 class Encoder:
-    """Ids of whole texts. As the tokenizer drops white space and looks at nothing beyond it, each
-    distinct word of a piece is encoded once, by the tokenizer itself."""
+    """Ids of whole texts by the tokenizer, each distinct word once.
+
+    The tokenizer drops white space, reads capitals as small letters and parts letters from the comma
+    or full stop after them, and looks at nothing beyond; so a text's ids are those of its words, one
+    after another, with such an end as a word of its own.
+    """
 
     def __init__(self, vocabulary: str, end_id: int):
         from tokenizers import Tokenizer
@@ -145,51 +149,66 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.bounds: list[int] = [0]
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        """Encode new words many at a time, parted by a mark that is a word with an id of its own."""
-        plain = [i for i, w in enumerate(words) if MARK not in w]
-        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
-        for at in range(0, len(plain), 20_000):
-            chunk = plain[at:at + 20_000]
-            joined = f" {MARK} ".join([words[i] for i in chunk])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            for i, own in zip(chunk, np.split(ids, np.flatnonzero(ids == self.mark))):
-                found[i] = own[1:] if i != chunk[0] else own
-        for i, w in enumerate(words):
-            if MARK in w:
-                found[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-        ends = self.used + np.cumsum([len(x) for x in found])
-        if ends[-1] > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), int(ends[-1]) - self.used), np.uint32)))
-        self.flat[self.used:ends[-1]] = np.concatenate(found)
-        self.known.update(zip(hashes, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words))))
-        self.used = int(ends[-1])
-        self.bounds += ends.tolist()
+        """Known words: sorted hashes, each with its place in ``bounds``; their ids one after another."""
+        self.hashes, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode new words in one go, parted by a mark that is a word with an id of its own."""
+        odd = [i for i, w in enumerate(words) if MARK in w]
+        plain = [w if MARK not in w else "" for w in words] if odd else words
+        found = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(found == self.mark)
+        ends = np.append(marks - np.arange(len(marks)), len(found) - len(marks))
+        flat = found[found != self.mark]
+        for i in odd:  # the mark itself in a text
+            own = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            flat = np.insert(flat, ends[i], own)
+            ends[i:] += len(own)
+        self.places = np.concatenate((self.places, np.arange(len(words), dtype=np.int32) + len(self.bounds) - 1))
+        self.bounds = np.concatenate((self.bounds, ends + len(self.flat)))
+        self.flat = np.concatenate((self.flat, flat))
+        self.hashes = np.concatenate((self.hashes, hashes))
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.places = self.hashes[order], self.places[order]
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return (self.hashes[at] == hashes, at) if len(self.hashes) else (np.zeros(len(hashes), bool), at)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and where each text's begin."""
-        words = words_of(texts)
-        distinct, first, inverse = np.unique(words.hashes(lower=False), return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHED:
+        words = _without_ends(words_of(texts))
+        data = words.data.tobytes()
+        # special tokens are told by their case
+        distinct, first, inverse = np.unique(words.hashes(lower=b"<|" not in data), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > CACHED:
             self._forget()
-        hashes, known = distinct.tolist(), self.known
-        new = [i for i, h in enumerate(hashes) if h not in known]
-        if new:
-            data, starts, ends = words.data.tobytes(), words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            self._learn([hashes[i] for i in new], [data[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends)])
-        bounds = np.asarray(self.bounds)
-        slot = np.fromiter((known[h] for h in hashes), np.int64, len(hashes))
-        begin, size = bounds[slot][inverse], (bounds[slot + 1] - bounds[slot])[inverse]
+        known, at = self._known(distinct)
+        if not known.all():
+            new = first[~known]
+            self._learn(distinct[~known], [data[a:b].decode() for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist())])
+            at = self._known(distinct)[1]
+        place = self.places[at]
+        begin, size = self.bounds[place][inverse], (self.bounds[place + 1] - self.bounds[place])[inverse]
         before = np.concatenate(([0], np.cumsum(size)))
-        text_of = np.repeat(np.arange(len(texts)), words.counts)
-        out = np.full(int(before[-1]) + len(texts), self.end_id, np.uint32)
-        inside = np.arange(int(before[-1]))
-        out[inside + np.repeat(text_of, size)] = self.flat[inside + np.repeat(begin - before[:-1], size)]
-        return out, np.concatenate((before[words.first[:-1]] + np.arange(len(texts)), [len(out)]))
+        shift = begin - before[:-1]
+        found = self.flat[np.arange(int(before[-1])) + np.repeat(shift, size)]
+        starts = before[words.first]
+        out = np.insert(found, starts[1:], np.uint32(self.end_id)) if len(texts) else found
+        return out, starts + np.arange(len(texts) + 1)
+
+
+def _without_ends(words: Words) -> Words:
+    """Words with a comma or full stop right after an ASCII letter as a word of its own."""
+    data, last = words.data, words.ends - 1
+    letter = (data | 0x20) - 97 < 26  # bytes wrap around
+    cut = (words.ends - words.starts > 1) & ((data[last] == 0x2C) | (data[last] == 0x2E)) & letter[last - 1]
+    at = np.flatnonzero(cut)
+    own = last[at]
+    starts, ends = np.insert(words.starts, at + 1, own), np.insert(np.where(cut, last, words.ends), at + 1, own + 1)
+    first = words.first + np.concatenate(([0], np.cumsum(cut)))[words.first]
+    return Words(data, words.offsets, starts, ends, first)
 
 
 FILE_SCHEMA = ("shard int, block int, first long, n_tokens long, base int, doc_ids array<long>, starts array<long>, "
