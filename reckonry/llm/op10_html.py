@@ -309,7 +309,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     the order of rows don't matter.
     """
     hosted = _of_host(pages)
-    chosen = hosted.where("html is not null").groupBy("host").agg(F.min(F.xxhash64("html")).alias("own"))
+    # written first, so that its true size decides how it meets the pages: few hosts need no shuffle of pages
+    chosen = stage(hosted.where("html is not null").groupBy("host").agg(F.min(F.xxhash64("html")).alias("own")), "wrapper-choice")
 
     def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
