@@ -1,11 +1,13 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees of elements. Each host's wrapper starts as the tree of one of its pages; simple
-tree matching aligns every page of the host with it. Over all pages of the host, a wrapper node whose
-text is the same in most of the pages that have it is template; one whose text varies is a slot.
-Text in template nodes, and in the parts of a page whose element or class says that they are no
-article (menus, footers, adverts, forms and so on), is left out. Inside a page's own article or main
-element all is content, so pages that are copies of each other lose nothing.
+tree matching aligns every page of the host with it, and nodes of a page that align with none extend
+the wrapper by their place below the nearest node that does, so second layouts are in it too. Over
+all distinct pages of the host, a wrapper node with one text in most of the pages that have it is
+template; one whose text varies is a slot. A block of a page is left out if its node is template and
+its own text is that constant text, or if the element or class says that it is no article (menus,
+footers, adverts, forms and so on). An article or main element raises what is asked of a constant
+inside it (nearly all pages that have it agree, three at least), and decides nothing alone.
 
 The wrapper of a host is small (element names and text hashes, no text) and rides to its pages in a
 plain join by host; what pages contribute to it is summed up before the shuffle.
@@ -19,10 +21,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reckonry.llm.batches import slices
+from reckonry.llm.keys import written_keys
 from reckonry.plans.staging import stage
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -43,11 +47,12 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ban
                         "pagination pager widget toolbar complementary contentinfo".split())
 WITHIN_TEXT = LEFT_OUT - frozenset("head nav footer aside form dialog menu".split())  # left out, but no end of a block
 CONTENT = frozenset(("article", "main"))
-#: A wrapper node is constant if more than this share of the pages that have it agree with it.
-MOST = 0.5
+#: A wrapper node is constant if more than this share of the pages that have it have one text there;
+#: inside an article or main element the share is ``NEARLY_ALL``, of ``PAGES`` pages or more.
+MOST, NEARLY_ALL, PAGES = 0.5, 0.9, 3
 #: Elements nested deeper lie side by side at this depth; their text stays in place.
 DEPTH = 400
-#: Child lists whose table would be larger are paired in order, label by label.
+#: Child lists whose table would be larger are split where the best match splits them (linear space).
 TABLE = 250_000
 
 
@@ -128,77 +133,164 @@ def skeleton(node: Node) -> Skeleton:
 
 
 def numbered(tree: Skeleton) -> tuple[list, int]:
-    """The tree as nested [label, hash, children, number, size], numbers in page order."""
+    """The tree as nested [label, hash, children, number, size, shape], numbers in page order.
+
+    ``shape`` is equal for trees of equal labels, in one process.
+    """
     count = 0
 
     def walk(t):
         nonlocal count
         own, count = count, count + 1
         children = [walk(x) for x in t[2]]
-        return [t[0], t[1], children, own, 1 + sum(c[4] for c in children)]
+        return [t[0], t[1], children, own, 1 + sum(c[4] for c in children), hash((t[0], *(c[5] for c in children)))]
 
     return walk(tree), count
 
 
-def match(a: list, b: list, out: dict[int, int]) -> int:
+def _uneven(a: list, b: list) -> tuple[list, list, int]:
+    """Child lists without the children of equal shape at both ends, and how many there are at the front.
+
+    Such children match whole, so pairing them loses nothing.
+    """
+    x, y, low, high = a[2], b[2], 0, 0
+    least = min(len(x), len(y))
+    while low < least and x[low][5] == y[low][5]:
+        low += 1
+    while high < least - low and x[-1 - high][5] == y[-1 - high][5]:
+        high += 1
+    return x[low:len(x) - high], y[low:len(y) - high], low
+
+
+class Weights:
+    """Sizes of the largest matches of two child lists' members, worked out once a pair of shapes."""
+
+    def __init__(self, x: list, y: list, memo: dict):
+        self.memo, shapes = memo, {}
+        self.of_y = np.array([shapes.setdefault(q[5], len(shapes)) for q in y], np.int64)
+        self.y = list({q[5]: q for q in reversed(y)}[k] for k in shapes)
+        self.rows: dict[int, np.ndarray] = {}
+
+    def row(self, p: list) -> np.ndarray:
+        found = self.rows.get(p[5])
+        if found is None:
+            sizes = []
+            for q in self.y:
+                sizes.append(matched(p, q, self.memo) if p[0] == q[0] else 0)
+            found = self.rows[p[5]] = np.array(sizes, np.int64)
+        return found
+
+
+def matched(a: list, b: list, memo: dict) -> int:
+    """The size of the largest order-keeping match of two numbered trees with equal roots."""
+    if a[5] == b[5]:
+        return a[4]
+    found = memo.get((a[5], b[5]))
+    if found is None:
+        x, y, _ = _uneven(a, b)
+        found = 1 + sum(p[4] for p in a[2]) - sum(p[4] for p in x)
+        if x and y:
+            w = Weights(x, y, memo)
+            found += int(_last_row(x, w, w.of_y)[-1])
+        memo[a[5], b[5]] = found
+    return found
+
+
+def _last_row(x: list, w: Weights, of_y: np.ndarray) -> np.ndarray:
+    """Sizes of the best matches of all of ``x`` with each beginning of the other list."""
+    row = np.zeros(len(of_y) + 1, np.int64)
+    for p in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w.row(p)[of_y]))
+    return row
+
+
+def _pairs(x: list, w: Weights) -> list[tuple[int, int]]:
+    """Places of the best match's pairs. Tables stay below ``TABLE`` cells whatever the lists' lengths."""
+    out, todo = [], [(0, len(x), 0, len(w.of_y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        n, m = b - a, d - c
+        if not n or not m:
+            continue
+        if n == 1:
+            sizes = w.row(x[a])[w.of_y[c:d]]
+            if sizes.max() > 0:
+                out.append((a, c + int(sizes.argmax())))
+        elif n * m > TABLE:
+            half = a + n // 2
+            front, back = _last_row(x[a:half], w, w.of_y[c:d]), _last_row(x[half:b][::-1], w, w.of_y[c:d][::-1])
+            at = c + int((front + back[::-1]).argmax())
+            todo += [(a, half, c, at), (half, b, at, d)]
+        else:
+            best = np.zeros((n + 1, m + 1), np.int64)
+            for i in range(n):
+                np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + w.row(x[a + i])[w.of_y[c:d]]), out=best[i + 1, 1:])
+            i, j = n, m
+            while i and j:
+                if best[i, j] == best[i - 1, j]:
+                    i -= 1
+                elif best[i, j] == best[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((a + i, c + j))
+    return out
+
+
+def _whole(a: list, b: list, out: dict[int, int]) -> None:
+    """Pairs of two trees of equal shape: numbers follow page order, so they run alike."""
+    for k in range(a[4]):
+        out[a[3] + k] = b[3] + k
+
+
+def match(a: list, b: list, out: dict[int, int], memo: dict | None = None) -> int:
     """Simple tree matching: the largest order-keeping match of two numbered trees with equal roots.
 
-    ``out`` gets number in ``a`` -> number in ``b``. Equal leaves at both ends of the child lists are
-    paired first, which loses nothing; the rest goes through the usual table.
+    ``out`` gets number in ``a`` -> number in ``b``. Children of equal shape at both ends are paired
+    first, which loses nothing; the rest goes through the usual table, at any length.
     """
     if a[0] != b[0]:
         return 0
+    if a[5] == b[5]:
+        _whole(a, b, out)
+        return a[4]
+    memo = {} if memo is None else memo
     out[a[3]] = b[3]
-    total, x, y = 1, a[2], b[2]
-    low = 0
-    while low < len(x) and low < len(y) and not x[low][2] and not y[low][2] and x[low][0] == y[low][0]:
-        out[x[low][3]] = y[low][3]
-        low += 1
-    high = 0
-    while high < min(len(x), len(y)) - low and not x[-1 - high][2] and not y[-1 - high][2] and x[-1 - high][0] == y[-1 - high][0]:
-        out[x[-1 - high][3]] = y[-1 - high][3]
-        high += 1
-    total += low + high
-    x, y = x[low:len(x) - high], y[low:len(y) - high]
-    if not x or not y:
-        return total
+    x, y, low = _uneven(a, b)
+    high = len(a[2]) - low - len(x)
+    ends = [*zip(a[2][:low], b[2][:low]), *(zip(a[2][-high:], b[2][-high:]) if high else ())]
+    for p, q in ends:
+        _whole(p, q, out)
+    total = 1 + sum(p[4] for p, _ in ends)
     if len(x) == 1 and len(y) == 1:
-        return total + match(x[0], y[0], out)
-    if len(x) * len(y) > TABLE:
-        j = 0
-        for p in x:
-            k = next((k for k in range(j, min(len(y), j + 50)) if y[k][0] == p[0]), None)
-            if k is not None:
-                total += match(p, y[k], out)
-                j = k + 1
-        return total
-    weight = [[0] * len(y) for _ in x]
-    found: dict[tuple[int, int], dict[int, int]] = {}
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            if p[0] == q[0]:
-                if p[2] and q[2]:
-                    weight[i][j] = match(p, q, found.setdefault((i, j), {}))
-                else:
-                    weight[i][j], found[i, j] = 1, {p[3]: q[3]}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        row, above, w = best[i + 1], best[i], weight[i]
-        for j in range(len(y)):
-            row[j + 1] = max(above[j + 1], row[j], above[j] + w[j])
-    i, j = len(x), len(y)
-    total += best[i][j]
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.update(found[i, j])
+        return total + match(x[0], y[0], out, memo)
+    if x and y:
+        for i, j in _pairs(x, Weights(x, y, memo)):
+            total += match(x[i], y[j], out, memo)
     return total
 
 
+def keys(tree: list, out: dict[int, int]) -> dict[int, int]:
+    """The wrapper's node for every node of a page, by number.
+
+    A node that aligns with none has a key of its own from 2**62 on: its label and place among unaligned
+    siblings of that label, below the key of its parent.
+    """
+    found, todo = {}, [(tree, out.get(tree[3], 1 << 62))]
+    while todo:
+        t, key = todo.pop()
+        found[t[3]] = key
+        times: Counter = Counter()
+        for x in t[2]:
+            own = out.get(x[3])
+            if own is None:
+                text = f"{key} {times[x[0]]} {x[0]}".encode("utf-8", "replace")
+                own = (zlib.crc32(text) << 30 | zlib.adler32(text[::-1]) & (1 << 30) - 1) | 1 << 62
+                times[x[0]] += 1
+            todo.append((x, own))
+    return found
+
+
 def packed(tree: Skeleton) -> str:
     """A skeleton as text, one node a line: depth, hash, label."""
     lines, todo = [], [(tree, 0)]
@@ -235,13 +327,12 @@ def boilerplate(node: Node) -> bool:
     return node.tag in LEFT_OUT or bool(node.marks) and not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", node.marks))
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset(), aligned: dict[int, int] | None = None) -> str:
+def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[int] = frozenset()) -> str:
     """Blocks of the page's content, one a line.
 
-    ``aligned`` gives the wrapper's number for the page's nodes, ``template`` the wrapper's constant
-    nodes. Their text is left out, except inside an article or main element.
+    ``shared`` holds the numbers of the page's nodes whose text is the host's, ``firm`` those of them
+    that hold inside an article or main element too. Their text is left out.
     """
-    aligned = aligned or {}
     rooted = _has_content(root)
     blocks: list[str] = []
     count = -1
@@ -252,7 +343,7 @@ def main_text(root: Node, template: frozenset[int] = frozenset(), aligned: dict[
         inside = inside or node.tag in CONTENT
         # the header of an article holds its heading
         shown = shown and not boilerplate(node) and not (node.tag == "header" and not inside)
-        use = shown and (inside or not rooted) and (inside or aligned.get(count) not in template)
+        use = shown and (inside or not rooted) and (inside or count not in shared)
         run: list[str] = []
 
         def flush() -> None:
@@ -303,14 +394,15 @@ def _of_host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, skeleton of one of its pages, and template: the numbers of its constant nodes.
+    """host, skeleton of one of its pages, and template: its constant nodes with their text's hash.
 
-    The page is the one with the least hash of its html among those that have any, so copies and
-    the order of rows don't matter.
+    The page is the one with the least hash of its html among those that have any. Pages of equal
+    html count once together, so copies and the order of rows don't matter.
     """
     hosted = _of_host(pages)
     # written first, so that its true size decides how it meets the pages: few hosts need no shuffle of pages
-    chosen = stage(hosted.where("html is not null").groupBy("host").agg(F.min(F.xxhash64("html")).alias("own")), "wrapper-choice")
+    distinct = stage(hosted.where("html is not null").groupBy("host", F.xxhash64("html").alias("own")).agg(F.count("*").alias("copies")), "wrapper-pages-seen")
+    chosen = stage(distinct.groupBy("host").agg(F.min("own").alias("own")), "wrapper-choice")
 
     def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,18 +417,25 @@ def wrappers(pages: DataFrame) -> DataFrame:
         known: dict[str, list] = {}
         counts: Counter = Counter()
         for batch in batches:
-            for host, page, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "skeleton"))):
-                for key in _alignment(page, model, known):
-                    counts[host, *key] += 1
+            for host, page, model, copies in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "skeleton", "copies"))):
+                for pair in _nodes(parse(page), model, known).values():
+                    counts[host, *pair, copies] += 1
             if len(counts) > 100_000:  # sums so far; later ones add up in the shuffle
                 yield _counted(counts)
                 counts.clear()
         yield _counted(counts)
 
-    joined = hosted.select("host", "html").where("html is not null").join(models, "host")
-    counted = joined.mapInArrow(aligned, "host string, node int, same boolean, n long")
-    constant = counted.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum(F.expr("if(same, n, 0)")).alias("same")).where(f"n > 1 and same > {MOST} * n")
-    found = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # as many as the wrapper has nodes
+    again = written_keys(distinct.where("copies > 1"), "wrapper-copies")
+    joined = hosted.where("html is not null").select("host", "html", F.xxhash64("html").alias("own")).join(again, ["host", "own"], "left").select(
+        "host", "html", F.coalesce("copies", F.lit(1)).alias("copies")).join(models, "host")
+    counted = joined.mapInArrow(aligned, "host string, node long, own long, copies long, n long")
+    # every copy of a page gives the same nodes, so sums divide by the copies without a rest
+    texts = counted.groupBy("host", "node", "own", "copies").agg(F.sum("n").alias("n")).groupBy("host", "node", "own").agg(
+        F.sum(F.expr("n div copies")).alias("n"))
+    constant = texts.groupBy("host", "node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("most")).where(f"n > 1 and most.n > {MOST} * n")
+    firm = F.expr(f"if(n >= {PAGES} and most.n >= {NEARLY_ALL} * n, 1, 0)")
+    found = constant.where("most.own > 0").groupBy("host").agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "node", "most.own", firm))), " ").alias("template"))  # as many as the wrapper has nodes
     return stage(models.join(found, "host", "left"), "wrappers")
 
 
@@ -344,27 +443,33 @@ def _model(model: str, known: dict) -> list:
     if model not in known:
         if len(known) > 500:
             known.clear()
-        tree, _ = numbered(unpacked(model))
-        known[model] = [tree, dict(hashes(tree))]
+        known[model] = numbered(unpacked(model))[0]
     return known[model]
 
 
-def _alignment(page: str, model: str, known: dict) -> list[tuple[int, bool]]:
-    tree, own = _model(model, known)
-    seen, _ = numbered(skeleton(parse(page)))
-    out: dict[int, int] = {}
-    match(seen, tree, out)
-    page_hashes = dict(hashes(seen))
-    pairs = [(b, page_hashes[a] == own[b]) for a, b in out.items() if page_hashes[a] or own[b]]
-    # a copy of the wrapper's own page tells nothing about what varies
-    return [] if all(same for _, same in pairs) else pairs
+def _template(template: str, known: dict) -> dict[tuple[int, int], bool]:
+    """(node, hash of its constant text) -> whether it holds inside an article or main element."""
+    if template not in known:
+        if len(known) > 500:
+            known.clear()
+        entries = (x.split(":") for x in template.split())
+        known[template] = {(int(node), int(own)): firm == "1" for node, own, firm in entries}
+    return known[template]
+
+
+def _nodes(root: Node, model: str, known: dict) -> dict[int, tuple[int, int]]:
+    """Wrapper node and hash of the own text, by number of the page's node."""
+    seen, out = numbered(skeleton(root))[0], {}
+    match(seen, _model(model, known), out)
+    of = keys(seen, out)
+    return {number: (of[number], own) for number, own in hashes(seen)}
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
     rows = list(counts.items())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()),
-         pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], ["host", "node", "same", "n"])
+    columns = [*([k[i] for k, _ in rows] for i in range(4)), [n for _, n in rows]]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "node", "own", "copies", "n"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -388,13 +493,15 @@ def extract(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "skeleton", "template").mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 
-def _text(page: str | None, model: str | None, template: list[int] | None, known: dict) -> str:
+def _text(page: str | None, model: str | None, template: str | None, known: dict) -> str:
     if not page:
         return ""
-    root, out = parse(page), {}
-    if model and template and not _has_content(root):
-        match(numbered(skeleton(root))[0], _model(model, known)[0], out)
-    return main_text(root, frozenset(template or ()), out)
+    root = parse(page)
+    if not model or not template:
+        return main_text(root)
+    constant = _template(template, known)
+    shared = {number: constant[pair] for number, pair in _nodes(root, model, known).items() if pair in constant}
+    return main_text(root, frozenset(shared), frozenset(n for n, firm in shared.items() if firm))
 
 
 def op10_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -259,6 +259,30 @@ def test_tree_matching_against_all_matches():
         assert pages.unpacked(pages.packed(a)) == a
 
 
+
+def test_constant_text_is_compared(spark):
+    body = "<body><div><p>Head {0}</p><p>{1}</p></div></body>"
+    rows = [(k, f"http://a.org/{k}", body.format(k, "Copied" if k < 6 else f"Own {k}")) for k in range(10)]
+    # a second layout, of which the wrapper's first page knows nothing
+    rows += [(20 + k, f"http://b.org/{k}", f"<body><div><p>Story {k}</p></div><div>Rights</div></body>") for k in range(6)]
+    rows += [(30 + k, f"http://b.org/x/{k}", f"<body><table><tr><td>Row {k}</td></tr></table><section><p>All constant</p></section></body>") for k in range(6)]
+    text = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == f"Head {k}\nOwn {k}" for k in range(6, 10))
+    assert all(text[20 + k] == f"Story {k}" and text[30 + k] == f"Row {k}" for k in range(6))
+
+
+def test_long_lists_match_in_linear_space(monkeypatch):
+    draw = random.Random(8)
+    a, b = (["r", 0, [[draw.choice("abc"), 0, [["x", 0, []]] * draw.randrange(3)] for _ in range(70)]] for _ in range(2))
+    sizes = []
+    for table in (10**6, 50):
+        monkeypatch.setattr(pages, "TABLE", table)
+        out = {}
+        sizes.append(pages.match(pages.numbered(a)[0], pages.numbered(b)[0], out))
+        assert sizes[-1] == len(out) == len(set(out.values()))
+    assert sizes[0] == sizes[1]
+
+
 # ---- the package as a whole
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
