@@ -333,7 +333,6 @@ def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[
     ``shared`` holds the numbers of the page's nodes whose text is the host's, ``firm`` those of them
     that hold inside an article or main element too. Their text is left out.
     """
-    rooted = _has_content(root)
     blocks: list[str] = []
     count = -1
 
@@ -343,7 +342,7 @@ def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[
         inside = inside or node.tag in CONTENT
         # the header of an article holds its heading
         shown = shown and not boilerplate(node) and not (node.tag == "header" and not inside)
-        use = shown and (inside or not rooted) and (inside or count not in shared)
+        use = shown and count not in (firm if inside else shared)
         run: list[str] = []
 
         def flush() -> None:
@@ -374,19 +373,6 @@ def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[
     return "\n".join(blocks)
 
 
-def _has_content(root: Node) -> bool:
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            continue
-        if x.tag in CONTENT:
-            return True
-        if not boilerplate(x):
-            todo += x.children
-    return False
-
-
 # ---- Spark -------------------------------------------------------------------------------------
 
 def _of_host(pages: DataFrame) -> DataFrame:

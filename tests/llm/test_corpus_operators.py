@@ -259,12 +259,23 @@ def test_tree_matching_against_all_matches():
         assert pages.unpacked(pages.packed(a)) == a
 
 
+def test_wrapper_decides_on_pages_with_articles(spark):
+    share = "<p>Read us every day</p>"
+    rows = [(k, f"http://a.org/{k}", f"<body><article><p>Story {k}</p>{share}</article></body>") for k in range(8)]
+    rows += [(20 + k, f"http://t.org/{k}", f"<body><div><p>Long story {k}</p></div><article>Teaser {k}</article></body>") for k in range(4)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in pages.extract(table).collect()}
+    assert all(text[k] == f"Story {k}" for k in range(8))  # a constant of the host inside its articles
+    assert all(text[20 + k] == f"Long story {k}\nTeaser {k}" for k in range(4))  # an article element that is only a teaser
+    again = spark.createDataFrame([(k, "http://c.org/", "<article><p>One</p><p>Two</p></article>") for k in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in pages.extract(again).collect()} == {"One\nTwo"}  # copies of one page share nothing
+
 
 def test_constant_text_is_compared(spark):
     body = "<body><div><p>Head {0}</p><p>{1}</p></div></body>"
     rows = [(k, f"http://a.org/{k}", body.format(k, "Copied" if k < 6 else f"Own {k}")) for k in range(10)]
     # a second layout, of which the wrapper's first page knows nothing
-    rows += [(20 + k, f"http://b.org/{k}", f"<body><div><p>Story {k}</p></div><div>Rights</div></body>") for k in range(6)]
+    rows += [(20 + k, f"http://b.org/{k}", f"<body><main><p>Story {k}</p></main><div>Rights</div></body>") for k in range(6)]
     rows += [(30 + k, f"http://b.org/x/{k}", f"<body><table><tr><td>Row {k}</td></tr></table><section><p>All constant</p></section></body>") for k in range(6)]
     text = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(text[k] == f"Head {k}\nOwn {k}" for k in range(6, 10))
