@@ -1,13 +1,15 @@
 """Benchmark passages in documents: SimHash of item-sized windows, Hamming blocks, exact check.
 
-* A window is as long as an item, in 5-word shingles, and lies where the document and the item share
-  a shingle. A window that shares none has similarity 0, so this leaves out nothing, and only it makes
-  the rest payable: fingerprints of every window of every size in the benchmark would cost some
+* A window is as long as an item, in 5-word shingles (shorter at a text's ends), and starts anywhere. It
+  is made if shingles of the benchmark, whatever their places in an item, fill at least ``least``
+  percent of it: the similarity is never above that share, so this leaves out nothing, and only it
+  makes the rest payable. Fingerprints of every window of every size in the benchmark would cost some
   hundred times the shingles themselves.
 * Windows of equal content, however many documents hold them, get one fingerprint: 128 SimHash bits,
   each the majority of that bit over the window's shingles with their multiplicities.
-* 16 blocks of 8 bits index the items: two fingerprints that differ in at most 15 bits agree on a whole
-  block, so all of them meet; those further apart still meet at 0.8 with probability 0.99.
+* 16 blocks of 8 bits index the items, each with its value and the 8 values one bit away: two
+  fingerprints that differ in at most 31 bits agree on a block but for one bit, so all of them meet.
+  At 0.8 some 19 bits differ; pairs beyond 31 bits still meet unless every block differs twice.
 * A pair that met counts if the multiset similarity ``sum(min) / sum(max)`` of shingle counts is at
   least ``least`` percent.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reckonry.llm.keys import written_keys
 from reckonry.llm.native import with_shingles
 from reckonry.plans.staging import stage
 
@@ -40,26 +43,55 @@ def _common(a: str, b: str) -> F.Column:
     return F.expr(f"aggregate(array_distinct({a}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
 
 
-def windows(docs: DataFrame, items: DataFrame, limit: int = BROADCAST_SHINGLES) -> DataFrame:
-    """doc_id, start (in shingles), window: item-sized stretches that share a shingle with an item of that size."""
-    aligned = items.select(F.posexplode("shingles").alias("q", "shingle"), F.size("shingles").alias("size")).distinct()
-    texts = with_shingles(docs, "h").select("doc_id", "h")
-    start, length = F.greatest(F.col("p") - F.col("q"), F.lit(0)), F.col("size") + F.least(F.col("p") - F.col("q"), F.lit(0))
+def _starts(least: int) -> str:
+    """Windows of size m in a text of n shingles whose positions ``ps`` are filled, each as start * 2**31 + length.
+
+    A window with k filled positions of which ps[i] is the first starts in a range that follows from
+    ps[i] and ps[i + k - 1]; beginnings and ends of the text, shorter than m, are tried one by one.
+    """
+    k = f"int(({least} * m + 99) div 100)"
+    low, high = f"greatest(ps[i + {k} - 1] - m + 1, 0)", "least(ps[i], n - m)"
+    full = (f"if(size(ps) >= {k} and n >= m, flatten(transform(filter(sequence(0, size(ps) - {k}), i -> ps[i + {k} - 1] - ps[i] < m), "
+            f"i -> transform(sequence({low}, {high}), s -> shiftleft(bigint(s), 31) + m))), array())")
+    ends = []
+    for start, inside, part in (("0", "p < l", "slice(ps, 1, m)"), ("n - l", "p >= n - l", "slice(ps, greatest(size(ps) - m, 0) + 1, m)")):
+        ends.append(f"if(least(m - 1, n) > 0, transform(filter(sequence(1, greatest(least(m - 1, n), 1)), l -> 100 * size(filter({part}, p -> {inside})) >= {least} * l), "
+                    f"l -> shiftleft(bigint({start}), 31) + l), array())")
+    return f"array_distinct(concat({full}, {ends[0]}, {ends[1]}))"
+
+
+def windows(docs: DataFrame, items: DataFrame, limit: int = BROADCAST_SHINGLES, least: int = LEAST) -> DataFrame:
+    """doc_id, start (in shingles), window, aligned: item-sized stretches filled with shingles of the benchmark.
+
+    ``aligned``: some shingle has the same place in the window and in an item of its size.
+    """
+    places = stage(items.select(F.posexplode("shingles").alias("q", "shingle"), F.size("shingles").alias("size")).distinct().groupBy("shingle").agg(
+        F.collect_list(F.struct("size", "q")).alias("places")), "places")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    texts = with_shingles(docs, "h").select("row", "h", F.size("h").alias("n"))
     # posexplode_outer: the plain one would test the arrays' sizes before they are columns, text by text and shingle by shingle
-    if aligned.count() <= limit:
-        hits = texts.select("doc_id", "h", F.posexplode_outer("h").alias("p", "shingle")).join(F.broadcast(aligned), "shingle")
-        found = hits.select("doc_id", start.alias("start"), F.slice("h", start + 1, length).alias("window"))
-        return found.groupBy("doc_id", "start", "window").agg(F.lit(1).alias("one")).drop("one")
-    # a large benchmark: positions alone travel, and the texts meet their windows afterwards
-    keyed = texts.select(F.xxhash64("doc_id", "h").alias("row"), F.posexplode_outer("h").alias("p", "shingle"))
-    found = keyed.join(aligned, "shingle").select("row", start.alias("start"), length.alias("length")).distinct()
-    held = texts.select("doc_id", F.xxhash64("doc_id", "h").alias("row"), "h").dropDuplicates(["row"])
-    return found.join(held, "row").select("doc_id", "start", F.slice("h", F.col("start") + 1, F.col("length")).alias("window"))
+    keyed = texts.select("row", "n", F.posexplode_outer("h").alias("p", "shingle"))
+    hits = keyed.join(F.broadcast(places) if places.count() <= limit else places, "shingle")
+    lines = hits.select("row", "n", "p", F.expr(
+        "transform(places, x -> struct(x.size as size, shiftleft(bigint(greatest(p - x.q, 0)), 31) + least(x.size + least(p - x.q, 0), n - greatest(p - x.q, 0)) as line))").alias("lines"))
+    filled = stage(lines.groupBy("row", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.flatten(F.collect_list("lines")).alias("lines")), "filled")
+    sized = filled.select("row", "n", "ps", F.expr("array_distinct(transform(lines, x -> x.line))").alias("lines"),
+                          F.explode(F.expr("array_distinct(transform(lines, x -> x.size))")).alias("m"))
+    made = sized.select("row", "lines", F.expr(_starts(least)).alias("made")).where("size(made) > 0")
+    found = stage(made.select("row", F.explode(F.expr(
+        "concat(transform(array_intersect(made, lines), w -> struct(w, true as aligned)), transform(array_except(made, lines), w -> struct(w, false as aligned)))"
+    )).alias("x")).select("row", "x.w", "x.aligned").distinct(), "window-places")
+    rows = written_keys(found.select("row").distinct(), "window-rows")  # met before shingles are made again
+    held = with_shingles(docs.join(rows, "row", "left_semi"), "h").select("row", "doc_id", "h")
+    start, length = F.shiftright("w", 31).cast("int"), F.col("w").bitwiseAND((1 << 31) - 1).cast("int")
+    return found.join(held, "row").select("doc_id", start.alias("start"), F.slice("h", start + 1, length).alias("window"), "aligned")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, limit: int = BROADCAST_SHINGLES) -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, start_word, similarity of the best window.
 
+    Of equally similar windows an aligned one goes first, then the first in the text.
+
     Null and blank texts hold nothing, on either side; a text of fewer than five words is one shingle
     and is found where it is a whole document. Rows that share a doc_id share its rows here; a null
     doc_id is reported as null. Other columns are not read.
@@ -67,18 +99,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, limit: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = stage(with_shingles(benchmark, "shingles").select("item_id", "shingles").where("size(shingles) > 0"), "items")
     ids = [F.xxhash64("window").alias("k1"), F.xxhash64(F.lit(1), "window").alias("k2")]
-    placed = stage(windows(docs, items, limit).select("doc_id", "start", "window", *ids), "windows")
+    placed = stage(windows(docs, items, limit, least).select("doc_id", "start", "window", "aligned", *ids), "windows")
     distinct = placed.groupBy("k1", "k2").agg(F.first("window").alias("window"))
     printed = stage(distinct.select("k1", "k2", "window", fingerprint_blocks("window").alias("blocks")), "fingerprints")
-    item_prints = items.select("item_id", "shingles", F.posexplode(fingerprint_blocks("shingles")).alias("block", "value"))
+    item_prints = items.select("item_id", "shingles", F.posexplode(fingerprint_blocks("shingles")).alias("block", "own"))
+    item_prints = item_prints.withColumn("value", F.explode(F.expr(f"concat(array(own), transform(sequence(0, {BLOCK_BITS - 1}), b -> own ^ shiftleft(1, b)))")))
     met = printed.select("k1", "k2", F.size("window").alias("n"), F.posexplode("blocks").alias("block", "value")).join(
         item_prints.select("item_id", F.size("shingles").alias("m"), "block", "value"), ["block", "value"]
     ).where(f"100 * n >= {least} * m and 100 * m >= {least} * n").select("k1", "k2", "item_id").distinct()
     both = met.join(printed.select("k1", "k2", "window"), ["k1", "k2"]).join(items, "item_id")
+    both = both.where(F.arrays_overlap("window", "shingles"))  # most pairs that met by a block alone
     shared = both.select("k1", "k2", "item_id", F.size("window").alias("n"), F.size("shingles").alias("m"), _common("window", "shingles").alias("both"))
     good = shared.where(f"100 * both >= {least} * (n + m - both)").select("k1", "k2", "item_id", F.expr("both / (n + m - both)").alias("similarity"))
-    return placed.select("doc_id", "start", "k1", "k2").join(good, ["k1", "k2"]).groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")).select(
+    return placed.select("doc_id", "start", "aligned", "k1", "k2").join(good, ["k1", "k2"]).groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"))).alias("best")).select(
         "doc_id", "item_id", (-F.col("best.s")).cast("long").alias("start_word"), "best.similarity")
 
 

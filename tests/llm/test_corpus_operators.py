@@ -119,6 +119,21 @@ def test_leaks_against_all_windows(spark, no_docs, odd_docs):
     assert clean.leaks(docs, bench.where("false")).collect() == []
 
 
+def test_leaks_in_another_order(spark):
+    items = [(k, made_words(104 + k, 300 + k)) for k in range(6)]
+    rows = []
+    for k, words in items:
+        around = made_words(60, 400 + k)
+        rows.append((k, " ".join(around + words[52:] + words[:52] + around)))
+        rows.append((10 + k, " ".join(words[70:] + words[:70] + around)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (10**6, 0):
+        got = {(r["doc_id"], r["item_id"]): r for r in clean.leaks(docs, bench, limit=limit).collect()}
+        assert set(got) == {(i, i % 10) for i, _ in rows}
+        assert all(got[k, k]["similarity"] == (96 + k) / (104 + k) and got[k, k]["start_word"] == 60 for k, _ in items)
+
+
 def test_blocks_meet_within_the_radius(spark):
     base = made_words(40, 3)
     hashes = spark.createDataFrame([(base,)], "w array<string>").selectExpr("transform(w, x -> xxhash64(x)) as h")
