@@ -12,7 +12,7 @@ from reckonry.llm.keys import written_keys
 from reckonry.llm.op01_pieces import encode_column, public_vocabulary
 from reckonry.llm.op02_decontaminate import leaks
 from reckonry.llm.op04_quality import kept_rows
-from reckonry.llm.op07_neardup import near_duplicates
+from reckonry.llm.op07_neardup import MinHash, near_duplicates
 from reckonry.llm.op08_secrets import redacted_rows
 from reckonry.plans.staging import stage
 
@@ -27,9 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id give way to one of them; rows with a null doc_id stay.
+    Near means a similarity of 0.8, as for all stages on word shingles. Rows that repeat a doc_id give way
+    to one of them; rows with a null doc_id stay.
     """
-    judged = stage(near_duplicates(docs), "judged").where("doc_id is not null").groupBy("doc_id").agg(
+    judged = stage(near_duplicates(docs, MinHash(percent=80)), "judged").where("doc_id is not null").groupBy("doc_id").agg(
         F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone, again = written_keys(judged.where("not kept").select("doc_id"), "gone"), written_keys(judged.where("n > 1").select("doc_id"), "repeated")
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")

@@ -334,6 +334,22 @@ def test_pipeline(spark):
     assert {"pipeline", *registry.queries()} <= set(entry_points.queries())
 
 
+def test_near_duplicate_stage_at_eighty(spark):
+    draw, rows = random.Random(12), []
+    for group in range(8):
+        base = made_words(110, 700 + group)
+        rows.append(" ".join(base))
+        for apart in (0, 4, 20, 40):  # two changed words touch 5 to 10 of the shingles
+            copy = list(base)
+            copy[30] = copy[30 + apart] = "changed" + str(draw.randrange(10**6))
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows, 1))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [i for i, _, _, kept in _components(rows, 80) if kept]
+    assert want != [i for i, _, _, kept in _components(rows, 85) if kept]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicated(spark, docs, "").collect()) == want
+
+
 def test_pipeline_of_odd_tables(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(1, "a benchmark item of some eight words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     shaped = odd_docs.selectExpr("doc_id", "text", "'en' as lang", "source", "0L as n_chars", "kept", "shard")
