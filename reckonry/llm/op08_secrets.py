@@ -1,10 +1,10 @@
 """Secret spans: three fixed patterns, and strings that a primed zstandard can't foretell.
 
 A candidate is a long run of key characters with letters and digits that follows a sensitive word.
-What it costs is measured: the text around it is compressed with and without it, by a compressor
-primed with a dictionary of code and identifiers. The bytes that the candidate adds, as a share of
-its length, are its novelty; names, paths and repeated strings cost little, random keys nearly all
-their length.
+What it costs is measured: the text around it, less other copies of the candidate, is compressed
+with and without it, by a compressor primed with a dictionary of code and identifiers. The bytes that
+the candidate adds, as a share of its length, are its novelty; names made of known words cost
+less, random keys nearly all their length, however often they are printed.
 """
 
 from __future__ import annotations
@@ -49,9 +49,22 @@ def compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+def _without(text: str, low: int, high: int, own: str, limit: int) -> str:
+    """``text[low:high]`` less the occurrences of ``own``, those cut by its ends too; none is sought beyond ``limit``."""
+    kept, at = [], low
+    until = min(limit, high + len(own) - 1)
+    found = text.find(own, max(0, low - len(own) + 1), until)
+    while found >= 0:
+        kept.append(text[at:max(at, found)])
+        at = found + len(own)
+        found = text.find(own, at, until)
+    return "".join(kept) + text[at:high]
+
+
 def novelty(packer: zstandard.ZstdCompressor, text: str, start: int, end: int) -> float:
-    """Bytes that the string adds to its compressed surroundings, as a share of its length."""
-    left, right = text[max(0, start - AROUND):start], text[end:end + AROUND]
+    """Bytes that the string adds to its compressed surroundings without its copies, as a share of its length."""
+    own = text[start:end]
+    left, right = _without(text, max(0, start - AROUND), start, own, start), _without(text, end, min(len(text), end + AROUND), own, len(text))
     without = len(packer.compress((left + right).encode("utf-8", "replace")))
     whole = len(packer.compress((left + right + text[start:end]).encode("utf-8", "replace")))
     return (whole - without) / max(1, end - start)
@@ -71,15 +84,17 @@ def novel_spans(packer: zstandard.ZstdCompressor, text: str, low: str, base: lis
     """(start, kind, end) of incompressible strings after a sensitive word, beside the base spans."""
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    out = []
+    out, others = [], []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         own = m[0]
         if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)) or any(a < end and start < b for a, _, b in base):
             continue
-        if SENSITIVE.search(text, max(0, start - BEFORE), start) and novelty(packer, text, start, end) >= NOVELTY:
-            out.append((start, 3, end))
-    return out
+        if SENSITIVE.search(text, max(0, start - BEFORE), start):
+            (out if novelty(packer, text, start, end) >= NOVELTY else others).append((start, 3, end))
+    novel = {text[a:b] for a, _, b in out}
+    # a longer run around a novel string is foretold by that string
+    return out + [(a, k, b) for a, k, b in others if any(x in text[a:b] for x in novel)]
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:

@@ -161,6 +161,20 @@ def test_secrets(spark, odd_docs, no_docs):
     assert red[0]["text"] == "[SECRET] and [SECRET]'" and red[0]["n_chars"] == len(red[0]["text"]) and red[7]["text"] is None
 
 
+def test_secrets_printed_again():
+    packer, key = secrets.compressor(), "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0Lm"
+    line = f"authorization: bearer {key} is sent\n"
+    for text in (line, line * 2, line * 40, line + "x y " * 120 + line, line + f"the key k={key} again\n"):
+        spans = secrets.spans_of(packer, text)[1]
+        assert len(spans) == text.count(key) and all(key in text[a:b] for a, _, b in spans), text[:80]
+        assert key not in secrets.redacted(text, spans)
+    for cut in range(400, 560, 7):  # a copy that the surroundings' end cuts
+        text = line + "." * cut + "\n" + line
+        assert len(secrets.spans_of(packer, text)[1]) == 2
+    name = "the key is in import_export_default_module_2 there\n"
+    assert len(secrets.spans_of(packer, name * 3)[1]) == 3 * len(secrets.spans_of(packer, name)[1])  # judged like one
+
+
 # ---- token files
 
 def test_grammar_round_trip():
