@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from reckonry.plans.staging import stage
+from reckonry.plans.staging import stage, stage_path
 
 BUCKET_ROWS, BUCKET_BYTES, BUCKETS_A_TASK = 1 << 16, 32 << 20, 8
 
@@ -37,8 +37,9 @@ def placed(records: DataFrame, shards: int, seed: int = 17, bytes_of: str | None
     drawn = drawn.select("bucket", "k", "r.record")
     drawn = stage(drawn, "buckets")
     counts = drawn.groupBy("bucket").agg(F.count("*").alias("n"))  # one row a bucket
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # written, so that its true size decides the join and records stay in place
+    offsets = stage(counts.select("bucket", F.coalesce(F.sum("n").over(
+        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), "offsets")
     place = F.col("before") + F.col("k")
     return drawn.join(offsets, "bucket").select(
         "record.*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
@@ -50,12 +51,21 @@ def write_shards(shuffled: DataFrame, path: str, rows_a_file: int = 1 << 20) ->
     shuffled.repartition("shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
+def shard_files(docs: DataFrame, shards: int, rows_a_file: int = 1 << 16) -> DataFrame:
+    """``docs`` shuffled whole into shard files in the shared folder, as read back from them, with shard and slot."""
+    spark = docs.sparkSession
+    sized = docs.withColumn("size", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"))
+    out = placed(sized, shards, bytes_of="size").drop("size")
+    path = stage_path(spark, "shards")
+    write_shards(out, path, rows_a_file)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def op5_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    records = spark.read.parquet(f"{folder}/documents.parquet").select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = placed(stage(records, "records"), shards=16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_files(spark.read.parquet(f"{folder}/documents.parquet"), shards=16).select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERY = op5_external_shuffle

@@ -41,12 +41,18 @@ def scope(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the checkpoint folder and read it back."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint folder, deleted with the scope it is made in."""
     path = f"{checkpoint_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the checkpoint folder and read it back."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -200,6 +200,20 @@ def test_shards(spark, odd_docs, no_docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3011
 
 
+def test_query_shuffles_whole_documents(spark, odd_docs, no_docs, tmp_path, monkeypatch):
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    paths, write = [], shards.write_shards
+    monkeypatch.setattr(shards, "write_shards", lambda out, path, *more: (paths.append(path), write(out, path, *more)))
+    rows = shards.op5_external_shuffle(spark, str(tmp_path)).collect()
+    held = spark.read.parquet(paths[0])
+    assert Counter((r["doc_id"], r["text"]) for r in held.collect()) == Counter(map(tuple, odd_docs.select("doc_id", "text").collect()))
+    crc = lambda t: __import__("zlib").crc32((t or "").encode())
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, crc(r["text"])) for r in held.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    assert sorted((r["slot"], r["shard"]) for r in rows) == [(0, k) for k in range(11)]
+    assert shards.shard_files(no_docs, 16).collect() == []
+
+
 # ---- licenses
 
 def test_licenses_against_all_windows(spark, odd_docs, no_docs):
