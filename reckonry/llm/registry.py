@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "op01_pieces", "op02_decontaminate", "op03_urls", "op04_quality", "op05_shards", "op06_licenses", "op07_neardup", "op08_secrets",
-    "op09_token_files", "op10_html", "op12_conversations", "op13_negatives",
+    "op09_token_files", "op10_html", "op11_warc", "op12_conversations", "op13_negatives",
 )
 
 
