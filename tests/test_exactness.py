@@ -15,13 +15,42 @@ from reckonry.operators import ops as O
 from reckonry.operators import retail as P
 from reckonry.operators.order_statistics import exact_quantiles
 from reckonry.operators.query import QueryError, answer
-from reckonry.operators.similar import closest_spelling
-
-
-def test_enough_character_pairs_for_any_length():
-    for n in range(2, 3000):
-        longest = int(n * (1.14 / 0.86) + 1e-9)
-        assert n // 2 >= int((n + longest) * 0.14 + 1e-9) + 1
+from reckonry.operators.similar import asked_keys, candidate_pairs, closest_spelling, known_keys
+
+
+def _edited(rng, value, letters, most):
+    w = list(value)
+    for _ in range(rng.randint(0, most)):
+        at = rng.randrange(len(w) + 1)
+        if rng.random() < 0.5 and w:
+            del w[min(at, len(w) - 1)]
+        else:
+            w.insert(at, rng.choice(letters))
+    return "".join(w)
+
+
+def test_close_spellings_always_share_a_key():
+    rng, close = random.Random(2), 0
+    for _ in range(6000):
+        letters = rng.choice(["ab", "abcd", "abcdefghij"])
+        known = "".join(rng.choice(letters) for _ in range(rng.randint(1, 45)))
+        word = _edited(rng, known, letters, int(len(known) * 0.3) + 1)
+        if word and difflib.SequenceMatcher(None, known, word).ratio() >= 0.86:
+            close += 1
+            assert known_keys(known, 0.86) & asked_keys(word, 0.86), (known, word)
+    assert close > 2500
+
+
+def test_candidates_stay_flat_as_names_grow(spark):
+    """Names of five syllables out of fifty: common pieces, few true neighbours."""
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnrt" for b in "aeiou"]
+    names = sorted({"".join(rng.choice(syllables) for _ in range(5)) for _ in range(8200)})
+    rng.shuffle(names)
+    words = [_edited(rng, n, "bdfgklmnrtaeiou", 1) for n in names[:1000]]
+    asked = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    found = {n: candidate_pairs(asked, spark.createDataFrame([(k,) for k in names[:n]], "candidate string")).count() for n in (1000, 8000)}
+    assert found[1000] <= 2 * 1000 and found[8000] <= 3 * found[1000], found
 
 
 def test_closest_spelling_equals_brute_force(spark):
