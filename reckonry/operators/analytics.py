@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+import struct
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reckonry.operators.query import checked
+from reckonry.plans.staging import stage
 from reckonry.plans.sums import cents, money_avg, money_sum, money_sum_or_zero, units
 
 
@@ -185,17 +189,37 @@ def _key_totals(counted: DataFrame, keys: list[str], side: str) -> DataFrame:
     )
 
 
-def reconcile_matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str) -> DataFrame:
-    """Keys on both sides with amounts and difference.
+def reconcile_matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str, totals: bool = False) -> DataFrame:
+    """Keys on both sides with amounts and difference, in run-length form.
 
-    ``pairs`` says how many row pairs a line stands for.  Where both sides hold
-    several different amounts for one key, one line carries the totals over all
-    their pairs (``many_to_many``), so output stays linear in the input.
+    One line stands for all ``pairs`` of equal rows: those of one key with the same two amounts. A key whose rows differ on
+    both sides is ``many_to_many`` and has a line for each of its pairs of amounts, dealt over tasks by parts of
+    the left amounts. With ``totals`` such a key is one line with the totals over all its
+    pairs instead, so that output stays linear in the input.
     """
-    return _matched(a, b, keys, amount).drop("widest")
+    return _totalled(a, b, keys, amount).drop("widest") if totals else _lines(a, b, keys, amount)
+
+
+#: Lines of one key that one task makes, about.
+LINES_A_PART = 100_000
 
 
-def _matched(a: DataFrame, b: DataFrame, keys: list[str], amount: str) -> DataFrame:
+def _lines(a: DataFrame, b: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    _check_sides(a, b, [*keys, amount])
+    left, right = _per_key(a, keys, amount, "a"), _per_key(b, keys, amount, "b")
+    kinds = [x.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"kinds_{s}")) for x, s in ((left, "a"), (right, "b"))]
+    made = F.col("kinds_a") * F.col("kinds_b")
+    both = kinds[0].join(kinds[1], keys).select(
+        *keys, ((F.col("kinds_a") > 1) & (F.col("kinds_b") > 1)).alias("many_to_many"),
+        F.least(F.ceil(made / LINES_A_PART), F.col("kinds_a")).cast("int").alias("parts"))
+    lhs = left.join(both, keys).withColumn("part", F.pmod(F.xxhash64("amount_a"), F.col("parts")).cast("int"))
+    rhs = right.join(both.drop("many_to_many"), keys).select(*right.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return lhs.join(rhs, [*keys, "part"]).select(
+        *keys, "amount_a", "amount_b", (F.col("amount_a") - F.col("amount_b")).alias("difference"),
+        (F.col("rows_a") * F.col("rows_b")).alias("pairs"), "many_to_many")
+
+
+def _totalled(a: DataFrame, b: DataFrame, keys: list[str], amount: str) -> DataFrame:
     """``widest`` is the largest difference of any pair that a line stands for."""
     _check_sides(a, b, [*keys, amount])
     left, right = _per_key(a, keys, amount, "a"), _per_key(b, keys, amount, "b")
@@ -228,15 +252,63 @@ def reconcile_only(a: DataFrame, b: DataFrame, keys: list[str], amount: str) ->
     )
 
 
-def _near_pairs(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Pairs within tolerance: an equi-join on narrow amount bands, neighbours included."""
-    band = tolerance * 4 if tolerance > 0 else 1.0
-    lhs = left.where(F.col("amount_a").isNotNull()).withColumn("band", F.floor(F.col("amount_a") / band))
-    rhs = right.where(F.col("amount_b").isNotNull()).withColumn(
-        "band", F.explode(F.array(*[F.floor(F.col("amount_b") / band) + i for i in (-1, 0, 1)]))
-    )
-    near = F.abs(F.col("amount_a") - F.col("amount_b")) <= tolerance
-    return lhs.join(rhs, [*keys, "band"]).where(near)
+def _reach(amount: Column, tolerance: float, sign: int) -> tuple[Column, Column, int]:
+    """The furthest point whose difference to ``amount``, as doubles give it, is within tolerance: (double, rest, whether a value there counts).
+
+    A rounded difference is within tolerance if the exact one is within the tolerance and half the gap to the next double, the end
+    included if the tolerance's last bit is 0. The exact point is kept as a double and what that rounds off.
+    """
+    half, last_bit = math.ulp(tolerance) / 2, struct.unpack("<q", struct.pack("<d", tolerance))[0] & 1
+    step = F.lit(sign * tolerance)
+    near = amount + step
+    back = near - amount
+    rest = (amount - (near - back)) + (step - back) + F.lit(sign * half)
+    point = near + rest
+    return point, rest - (point - near), 0 if last_bit else 1
+
+
+def _near_sums(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """One row: ``near`` row pairs within tolerance and ``near_cents``, the sum of their differences.
+
+    No pair is made. Per key, right amounts lie in order with running counts and totals; each left amount reads them at
+    both ends of its reach, and the two readings differ by what lies between. The order is dealt out by ranges of (key, amount),
+    so a key of any size is spread; a key that goes on in a later range takes the totals of the ranges before along,
+    which is one row a range.
+    """
+    sides, finite = [], {}
+    for x, s in ((left, "a"), (right, "b")):
+        finite[s] = x.where(F.col(f"amount_{s}").isNotNull() & ~F.isnan(f"amount_{s}") & (F.abs(f"amount_{s}") != float("inf"))).withColumn(
+            f"amount_{s}", F.col(f"amount_{s}") + 0.0)
+    spent = cents(F.col("amount_b")) * F.col("rows_b")
+    no_rows, no_cents = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,8)")
+    sides.append(finite["b"].select(*keys, F.col("amount_b").alias("at"), F.lit(0.0).alias("rest"), F.lit(1).alias("turn"), F.col("rows_b").alias("rows"),
+                                    spent.cast("decimal(38,8)").alias("cents"), no_rows.alias("asks"), no_cents.alias("own")))
+    for sign in (-1, 1):
+        at, rest, inside = _reach(F.col("amount_a"), tolerance, sign)
+        # the lower end is read before a value there that counts, the upper end after it
+        turn = 1 + (sign if inside else -sign)
+        sides.append(finite["a"].select(*keys, at.alias("at"), rest.alias("rest"), F.lit(turn).alias("turn"), no_rows.alias("rows"), no_cents.alias("cents"),
+                                        (F.col("rows_a") * sign).alias("asks"), cents(F.col("amount_a")).cast("decimal(38,8)").alias("own")))
+    order = ["at", "rest", "turn"]
+    events = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    # written, so that a row stays in its range
+    events = stage(events.repartitionByRange(*keys, *order).withColumn("range", F.spark_partition_id()), "amounts")
+    whole = F.struct(*keys)
+    ends = events.groupBy("range").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))
+    in_order = Window.orderBy("range")  # one row a range
+    continued = stage(ends.withColumn("before", F.lag("last").over(in_order)).where("first = before").select("range", "first"), "continued")
+    spanning = continued.select(F.col("first").alias("key")).distinct()
+    totals = events.where("rows > 0").withColumn("key", whole).join(spanning, "key", "left_semi").groupBy("key", "range").agg(
+        F.sum("rows").alias("rows"), F.sum("cents").alias("cents"))
+    carried = continued.select("range", F.col("first").alias("key")).join(totals.withColumnRenamed("range", "earlier"), "key").where("earlier < range").groupBy("range", "key").agg(
+        F.sum("rows").alias("carried_rows"), F.sum("cents").alias("carried_cents"))
+    so_far = Window.partitionBy("range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    read = events.withColumns({"key": whole, "seen": F.sum("rows").over(so_far), "spent": F.sum("cents").over(so_far)}).where("asks <> 0")
+    read = read.join(carried, ["range", "key"], "left")
+    seen = F.col("seen") + F.coalesce("carried_rows", F.lit(0))
+    spent = F.col("spent") + F.coalesce("carried_cents", F.lit(0))
+    return read.agg(F.coalesce(F.sum(F.col("asks") * seen), F.lit(0)).alias("near"),
+                    F.coalesce(F.sum(F.col("asks") * (F.col("own") * seen - spent)), F.lit(0)).alias("near_cents"))
 
 
 def reconcile_summary(
@@ -253,13 +325,7 @@ def reconcile_summary(
             F.sum(F.col("cents_a") * F.col("filled_b") - F.col("cents_b") * F.col("filled_a")), F.lit(0)
         ).alias("diff_cents"),
     )
-    weight = F.col("rows_a") * F.col("rows_b")
-    near = _near_pairs(left, right, keys, tolerance).agg(
-        F.coalesce(F.sum(weight), F.lit(0)).alias("near"),
-        F.coalesce(F.sum((cents(F.col("amount_a")) - cents(F.col("amount_b"))) * weight), F.lit(0)).alias(
-            "near_cents"
-        ),
-    )
+    near = _near_sums(left, right, keys, tolerance)
 
     def unmatched(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
         return reconcile_only(x, y, keys, amount).agg(
@@ -285,7 +351,7 @@ def reconcile_examples(
     a: DataFrame, b: DataFrame, keys: list[str], amount: str, tolerance: float = 0.01, n: int = 10
 ) -> DataFrame:
     """Ten example lines per bucket, lowest keys first; a key differs if any of its pairs does, also where totals cancel."""
-    differing = _matched(a, b, keys, amount).where(
+    differing = _totalled(a, b, keys, amount).where(
         F.coalesce("widest", F.lit(0.0)) > tolerance
     ).orderBy(*keys, "amount_a", "amount_b").limit(n)
     sides = [differing.select(F.lit("differing").alias("bucket"), *keys, "amount_a", "amount_b")]

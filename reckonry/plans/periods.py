@@ -189,6 +189,43 @@ def reconcile_repeated_keys(t: Tables):
         side.where("l_returnflag = 'R'").drop("l_returnflag"), ["ref"], "amount")
 
 
+_RETURNS = """
+    with a as (select l_partkey as ref, l_discount as amount from lineitem where l_returnflag = 'A'),
+         b as (select l_partkey as ref, l_discount as amount from lineitem where l_returnflag = 'R')"""
+
+
+def _returns(t: Tables):
+    side = t.lineitem.select(F.col("l_partkey").alias("ref"), F.col("l_discount").alias("amount"), "l_returnflag")
+    return [side.where(F.col("l_returnflag") == flag).drop("l_returnflag") for flag in ("A", "R")]
+
+
+@query("A10", _RETURNS + """
+    , p as (select a.ref, a.amount as amount_a, b.amount as amount_b, count(*) as pairs from a join b on a.ref = b.ref group by 1, 2, 3),
+      k as (select ref, count(distinct amount_a) > 1 and count(distinct amount_b) > 1 as many_to_many from p group by 1)
+    select ref, amount_a, amount_b, round(amount_a - amount_b, 2) as difference, pairs, many_to_many from p join k using (ref)""")
+def reconcile_repeated_lines(t: Tables):
+    """Every pair of rows of a repeated key, equal ones as one counted line."""
+    return A.reconcile_matched(*_returns(t), ["ref"], "amount").withColumn("difference", F.round("difference", 2))
+
+
+@query("A10", _RETURNS + """
+    , s as (select ref, count(*) as n, count(distinct amount) as kinds, sum(cast(round(amount * 100) as bigint)) as c, 'a' as side from a group by 1
+            union all select ref, count(*), count(distinct amount), sum(cast(round(amount * 100) as bigint)), 'b' from b group by 1)
+    select x.ref, x.n * y.n as pairs, round(cast(x.c * y.n as double) / 100, 2) as amount_a, round(cast(y.c * x.n as double) / 100, 2) as amount_b
+    from s x join s y on x.ref = y.ref and x.side = 'a' and y.side = 'b' where x.kinds > 1 and y.kinds > 1""")
+def reconcile_repeated_totals(t: Tables):
+    return A.reconcile_matched(*_returns(t), ["ref"], "amount", totals=True).where("many_to_many").select("ref", "pairs", "amount_a", "amount_b")
+
+
+@query("A12", _RETURNS + """
+    , m as (select a.amount - b.amount as d, cast(round(a.amount * 100) as bigint) - cast(round(b.amount * 100) as bigint) as c from a join b on a.ref = b.ref)
+    select count(*) filter (abs(d) <= 0.04) as matched, count(*) filter (abs(d) > 0.04) as matched_with_difference,
+           round(cast(coalesce(sum(c) filter (abs(d) > 0.04), 0) as double) / 100, 2) as difference_total from m""")
+def reconcile_wide_tolerance(t: Tables):
+    """Differences that fall on the tolerance itself count as doubles have them."""
+    return A.reconcile_summary(*_returns(t), ["ref"], "amount", 0.04).select("matched", "matched_with_difference", "difference_total")
+
+
 @query("A12", _PERTURBED + """
     select * from (select 'differing' as bucket, a.ref, a.amount as amount_a, b.amount as amount_b
       from a join b on a.ref = b.ref where abs(a.amount - b.amount) > 0.01 order by a.ref limit 10)

@@ -1,5 +1,8 @@
 """Nothing is cut, rounded early or overflows; one case for each way in which it once did."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from reckonry.operators import analytics as A, grid as G, ledger as E, profile as D
 from reckonry.operators import order_statistics as Q
 from reckonry.operators.query import answer
@@ -105,3 +108,43 @@ def test_examples_show_keys_whose_totals_cancel(spark):
     a, b = (spark.createDataFrame([("k", v) for v in vs] + [("same", 5.0)], "k string, v double") for vs in ((1.0, 9.0), (2.0, 8.0)))
     assert A.reconcile_summary(a, b, ["k"], "v").first().matched_with_difference == 4
     assert [r.k for r in A.reconcile_examples(a, b, ["k"], "v").where("bucket = 'differing'").collect()] == ["k"]
+
+
+def test_buckets_of_one_wide_key_equal_all_pairs(spark):
+    """10,000 amounts a side in one key, most pairs near; differences that fall on the tolerance count as doubles have them."""
+    draw = np.random.default_rng(4)
+    a, b = (np.round(draw.integers(-400_000, 400_000, 10_000) / 100, 2) for _ in range(2))
+    for tolerance in (1500.05, 0.05, 0.0, 0.1 + 0.2):
+        gap = [x - b for x in a]
+        near = sum(int((np.abs(g) <= tolerance).sum()) for g in gap)
+        far = sum(float(g[np.abs(g) > tolerance].sum()) for g in gap)
+        frames = [spark.createDataFrame([("k", float(v)) for v in x] + [(f"own{k}", 1.0) for k in range(9)], "k string, v double").repartition(6) for x in (a, b)]
+        got = A.reconcile_summary(*frames, ["k"], "v", tolerance).first()
+        assert (got.matched, got.matched_with_difference) == (near + 9, 10**8 - near), tolerance
+        assert abs(got.difference_total - far) < 1e-3 * max(1, abs(far) * 1e-9)
+
+
+def test_wide_key_with_every_pair_near(spark):
+    side = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v"))
+    got = A.reconcile_summary(side, side, ["k"], "v", 1e9).first()  # 40,000,000,000 pairs, none of them made
+    assert (got.matched, got.matched_with_difference, got.difference_total) == (40_000_000_000, 0, 0.0)
+
+
+def test_odd_amounts_in_buckets(spark):
+    side = spark.createDataFrame([("k", v) for v in (None, 0.0, -0.0, 5.0, 1e-9)], "k string, v double")
+    got = A.reconcile_summary(side, side, ["k"], "v", 0.0).first()
+    pairs = [0.0 if x is None or y is None else abs(x - y) for x in (None, 0.0, -0.0, 5.0, 1e-9) for y in (None, 0.0, -0.0, 5.0, 1e-9)]
+    assert got.matched == sum(d <= 0 for d in pairs) and got.matched_with_difference == sum(d > 0 for d in pairs)
+    empty = side.limit(0)
+    assert A.reconcile_summary(empty, side, ["k"], "v").first().matched == 0
+
+
+def test_lines_of_a_heavy_key_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(A, "LINES_A_PART", 50)
+    a = spark.createDataFrame([("k", float(v % 30)) for v in range(90)] + [("one", 1.0), (None, 2.0)], "k string, v double")
+    b = spark.createDataFrame([("k", float(v % 20)) for v in range(40)] + [("one", 1.0), ("one", 3.0), (None, 2.0)], "k string, v double")
+    lines = A.reconcile_matched(a, b, ["k"], "v").collect()
+    assert len(lines) == 30 * 20 + 2 and sum(r.pairs for r in lines) == 90 * 40 + 2
+    assert {(r.amount_a, r.amount_b) for r in lines if r.k == "k"} == {(float(x), float(y)) for x in range(30) for y in range(20)}
+    assert {r.pairs for r in lines if r.many_to_many} == {6}
+    assert A.reconcile_matched(a, b, ["k"], "v", totals=True).where("many_to_many").count() == 1
