@@ -148,3 +148,34 @@ def test_lines_of_a_heavy_key_are_dealt_out(spark, monkeypatch):
     assert {(r.amount_a, r.amount_b) for r in lines if r.k == "k"} == {(float(x), float(y)) for x in range(30) for y in range(20)}
     assert {r.pairs for r in lines if r.many_to_many} == {6}
     assert A.reconcile_matched(a, b, ["k"], "v", totals=True).where("many_to_many").count() == 1
+
+
+def test_quantiles_over_hundreds_of_decades_take_six_rounds_at_most(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    values = np.concatenate([10.0 ** draw.uniform(-300, 300, 15_000) * draw.choice([-1, 1], 15_000), np.zeros(500), [np.inf] * 30, [-np.inf] * 40])
+    rounds, narrow = [], Q._narrow
+    monkeypatch.setattr(Q, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    monkeypatch.setattr(Q, "KINDS", 2)
+    df = spark.createDataFrame([(float(v), "g") for v in values], "v double, g string")
+    want = np.sort(values)
+    got = Q.exact_quantiles(df, ["g"], "v", {"first": 0.0, "low": 0.25, "m": 0.5, "last": 1.0}).first()
+    assert len(rounds) <= 6 and got.n == len(values)
+    assert (got.first, got["last"]) == (-np.inf, np.inf)
+    for q, found in ((0.25, got.low), (0.5, got.m)):
+        at = (len(want) - 1) * q
+        low, high = want[int(at)], want[min(int(at) + 1, len(want) - 1)]
+        assert found == low + (high - low) * (at - int(at))
+
+
+def test_nan_sorts_after_all_others(spark):
+    df = spark.createDataFrame([(v,) for v in [float("nan")] * 3 + [1.0, 2.0, -0.0, 0.0]], "v double")
+    got = Q.exact_quantiles(df, [], "v", {"m": 0.5, "top": 1.0}).first()
+    assert got.n == 7 and got.m == 2.0 and got.top != got.top
+
+
+def test_medians_of_several_columns_in_one_pass(spark):
+    rows = [(k % 3 or None, float(k), None if k % 3 == 1 else float(-k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    got = {r.g: (r.x, r.y) for r in Q.exact_medians(df, ["g"], {"x": "a", "y": "b"}).collect()}
+    assert got == {None: (28.5, -28.5), 1: (29.5, None), 2: (30.5, -30.5)}
+    assert tuple(Q.exact_medians(df, [], {"x": "a", "y": "b"}).first()) == (29.5, -29.5)
