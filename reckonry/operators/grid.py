@@ -87,61 +87,61 @@ def classify_cells(cell: DataFrame) -> DataFrame:
 
 
 def header_scores(cells: DataFrame) -> DataFrame:
-    """Every candidate header row with the parts of its score."""
-    lengths = cells.groupBy(*SHEET).agg(F.max("source_row").alias("last_row"))
-    head = prepare(cells.where(F.col("source_row") <= HEAD_ROWS))
+    """Every candidate header row with the parts of its score.
+
+    A sheet's first rows meet in one exchange; all that follows keeps that placing. What lies beneath a cell is
+    read from running counts down its column, one reading at the end of each reach less one at the cell itself.
+    """
+    head = prepare(cells.where(F.col("source_row") <= HEAD_ROWS)).select(*SHEET, F.col("source_row").cast("int").alias("source_row"), "norm", "kinds")
     filled = F.size(F.filter("norm", lambda v: ~_null_word(v)))
-    cell = classify_cells(read_values(explode_cells(head.withColumn("filled", filled), "filled")))
-    cell = stage(cell.drop("number", "date"), "head-cells")  # a sheet's first rows, read several times below
-
-    own = cell.where(F.col("source_row") <= fv.HEADER_SEARCH_ROWS).select(
-        *SHEET, F.col("source_row").alias("row"), "col", "populated", "header_like", F.col("shape").alias("own_shape"), F.lower("text").alias("label"))
-
-    def candidates(row: Column) -> Column:
-        """Header rows a grid row lies beneath."""
-        first = F.greatest(F.lit(1), row - fv.WIDTH_BODY_ROWS)
-        last = F.least(F.lit(fv.HEADER_SEARCH_ROWS), row - 1)
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-    here = F.col("source_row").cast("int")
-    heights = cell.groupBy(*SHEET, "source_row").agg(F.max("filled").alias("filled"))
-    rows = heights.select(*SHEET, "source_row", "filled", F.explode(candidates(here)).alias("row"))
-    near = (F.col("source_row") - F.col("row")) <= fv.SCORE_BODY_ROWS
-    wide = F.col("filled") > 1
-    widths = rows.where(wide).groupBy(*SHEET, "row", "filled").agg(
-        F.count(F.lit(1)).alias("n"), F.min("source_row").alias("first"))
-    modal = widths.groupBy(*SHEET, "row").agg(
-        F.max_by("filled", F.struct("n", -F.col("first"))).alias("body_width"), F.sum("n").alias("wide_rows"))
-    beneath = rows.groupBy(*SHEET, "row").agg(F.count_if(near & (F.col("filled") > 0)).alias("rows_beneath"))
-
-    body = cell.where("populated").select(
-        *SHEET, "source_row", "col", "shape", "filled", F.explode(candidates(here)).alias("row"))
-    close = (F.col("source_row") - F.col("row")) <= fv.CONTRAST_ROWS
-    shapes = []
-    for s in SHAPES:
-        test = close & (F.col("shape") == s)
-        shapes += [F.count_if(test).alias(f"n_{s}"), F.min(F.when(test, F.col("source_row"))).alias(f"f_{s}")]
-    below = body.groupBy(*SHEET, "row", "col").agg(
-        F.count_if(wide).alias("used"), F.count_if(near).alias("near_cells"),
-        F.count_if(near & F.col("shape").isin("number", "date")).alias("near_typed"), *shapes)
+    sheet = Window.partitionBy(*SHEET)
+    down = sheet.orderBy("source_row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = head.repartition(*SHEET).withColumn("filled", filled).withColumns({
+        "heights": F.collect_list(F.struct("source_row", "filled")).over(down),  # HEAD_ROWS at most
+        "columns": F.max(F.size("norm")).over(down)})
+
+    def beneath(reach: int, test) -> Column:
+        return F.filter("heights", lambda r: r["source_row"].between(F.col("source_row") + 1, F.col("source_row") + reach) & test(r["filled"]))
+
+    rows = rows.withColumns({
+        "wide": F.transform(beneath(fv.WIDTH_BODY_ROWS, lambda n: n > 1), lambda r: r["filled"]),
+        "rows_beneath": F.size(beneath(fv.SCORE_BODY_ROWS, lambda n: n > 0))}).drop("heights")
+    # of equally common widths the first one beneath
+    common_width = F.array_max(F.transform(F.array_distinct("wide"), lambda w, i: F.struct(
+        F.size(F.filter("wide", lambda x: x == w)).alias("n"), (-i).alias("first"), w.alias("width"))))["width"]
+    fill = F.array_repeat(F.lit(None).cast("string"), F.col("columns") - F.size("norm"))
+    rows = rows.withColumns({"body_width": common_width, "wide_rows": F.size("wide"), "norm": F.concat("norm", fill)}).drop("wide", "columns")
+    kept = ("filled", "body_width", "wide_rows", "rows_beneath")
+    cell = classify_cells(read_values(explode_cells(rows, *kept))).select(
+        *SHEET, "source_row", "col", *kept, "populated", "header_like", "shape", F.lower("text").alias("label"))
+
+    column = Window.partitionBy(*SHEET, "col")
+    one = lambda test: F.when(test, 1).otherwise(0)
+
+    def below(test: Column, reach: int) -> Column:
+        until = lambda k: F.sum(one(test)).over(column.orderBy("source_row").rangeBetween(Window.unboundedPreceding, k))
+        return until(reach) - until(0)
+
+    populated, upwards = F.col("populated"), column.orderBy(F.col("source_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = {"used": below(populated & (F.col("filled") > 1), fv.WIDTH_BODY_ROWS), "near_cells": below(populated, fv.SCORE_BODY_ROWS),
+              "near_typed": below(F.col("shape").isin("number", "date"), fv.SCORE_BODY_ROWS)}
+    counts |= {f"n_{s}": below(F.col("shape") == s, fv.CONTRAST_ROWS) for s in SHAPES}
+    counts |= {f"f_{s}": F.last(F.when(F.col("shape") == s, F.col("source_row")), ignorenulls=True).over(upwards) for s in SHAPES}
     common = F.array_max(F.array(*[
         F.struct(F.col(f"n_{s}").alias("n"), (-F.coalesce(f"f_{s}", F.lit(1 << 30))).alias("f"), F.lit(s).alias("s")) for s in SHAPES]))["s"]
-    below = below.withColumns({"common": common, "seen": sum((F.col(f"n_{s}") for s in SHAPES), F.lit(0))}).select(
-        *SHEET, "row", "col", "used", "near_cells", "near_typed", "common", "seen")
-
-    both = own.join(below, [*SHEET, "row", "col"], "full_outer").join(modal, [*SHEET, "row"])
-    mine = F.coalesce("populated", F.lit(False))
-    in_body = F.coalesce("used", F.lit(0)) >= F.greatest(F.lit(1), F.floor(F.col("wide_rows") / 5))
-    judged = mine & (F.coalesce("seen", F.lit(0)) >= 3)
+    both = cell.withColumns(counts).where(F.col("source_row") <= fv.HEADER_SEARCH_ROWS).withColumns({
+        "common": common, "seen": sum((F.col(f"n_{s}") for s in SHAPES), F.lit(0))}).withColumnsRenamed({"source_row": "row", "shape": "own_shape"})
+    mine = F.col("populated")
+    in_body = F.col("used") >= F.greatest(F.lit(1), F.floor(F.col("wide_rows") / 5))
+    judged = mine & (F.col("seen") >= 3)
     parts = both.groupBy(*SHEET, "row").agg(
-        F.count_if(mine).alias("cells"), F.count_if(F.coalesce("header_like", F.lit(False))).alias("like"),
+        F.count_if(mine).alias("cells"), F.count_if("header_like").alias("like"),
         F.count_distinct(F.when(mine, F.col("label"))).alias("labels"),
         F.count_if(in_body).alias("body_cols"), F.count_if(in_body & mine).alias("covered"), F.count_if(mine & ~in_body).alias("surplus"),
-        F.coalesce(F.sum("near_cells"), F.lit(0)).alias("near_cells"), F.coalesce(F.sum("near_typed"), F.lit(0)).alias("near_typed"),
+        F.sum("near_cells").alias("near_cells"), F.sum("near_typed").alias("near_typed"),
         F.count_if(judged).alias("judged"), F.count_if(judged & (F.col("own_shape") != F.col("common"))).alias("differing"),
-        F.max("body_width").alias("body_width"))
-    scored = parts.join(beneath, [*SHEET, "row"]).join(lengths, SHEET).where(
-        (F.col("cells") >= 2) & (F.col("row") < F.col("last_row")) & (F.col("body_width") >= 2) & (F.col("rows_beneath") > 0))
+        F.max("body_width").alias("body_width"), F.max("rows_beneath").alias("rows_beneath"))
+    scored = parts.where((F.col("cells") >= 2) & (F.col("body_width") >= 2) & (F.col("rows_beneath") > 0))  # so no last row
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     width = F.when(
         F.col("body_cols") > 0,

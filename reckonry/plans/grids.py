@@ -40,9 +40,60 @@ def sheet_headers(t: Tables):
     return G.find_headers(customer_sheets(t)).select("file", "sheet", "header_row", "first_col", "last_col")
 
 
-@query("P2 P3 P4")
+#: The sheets cell by cell, and each part of the score by joining a candidate to the rows beneath it.
+_SCORES = """
+    with o as (select 'customer-' || o_custkey as file, c_name, row_number() over (partition by o_custkey order by o_orderkey) as i, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus
+               from orders join customer on o_custkey = c_custkey),
+    n as (select file, c_name, count(*) as n from o group by 1, 2),
+    cells as (
+      select file, i + 4 as r, 0 as c, strftime(o_orderdate, '%d/%m/%Y') as text, 'date' as shape from o
+      union all select file, i + 4, 1, 'ORD-' || o_orderkey, 'short_text' from o
+      union all select file, i + 4, 2, o_orderpriority, 'short_text' from o
+      union all select file, i + 4, 3, 'price', 'number' from o
+      union all select file, i + 4, 4, o_orderstatus, 'short_text' from o
+      union all select file, 1, 0, c_name, 'short_text' from n
+      union all select file, 2, 0, 'Order export', 'short_text' from n
+      union all select file, 4, h.c, h.text, 'short_text' from n, (values (0, 'Date'), (1, 'Order No'), (2, 'Priority'), (3, 'Net Sales'), (4, 'Status')) h(c, text)
+      union all select file, n + 6, 0, 'TOTAL', 'short_text' from n
+      union all select file, n + 6, 3, 'total', 'number' from n
+      union all select file, n + 8, 0, '* Prices exclude delivery and any goods sent back later.', 'long_text' from n),
+    head as (select *, shape in ('short_text', 'long_text') and length(text) <= 60 and regexp_matches(text, '[A-Za-z]') as likely, count(*) over (partition by file, r) as filled
+             from cells where r <= 101),
+    rows as (select distinct file, r, filled from head),
+    beneath as (select a.file, a.r, b.r as s, b.filled from rows a join rows b on a.file = b.file and b.r between a.r + 1 and a.r + 60 where a.r <= 40),
+    near as (select file, r, count(*) filter (s <= r + 10) as rows_beneath, count(*) filter (filled > 1) as wide_rows from beneath group by 1, 2),
+    modal as (select file, r, arg_max(filled, k) as body_width from (
+      select file, r, filled, {'n': count(*), 'first': -min(s)} as k from beneath where filled > 1 group by 1, 2, 3) group by 1, 2),
+    spots as (select a.file, a.r, b.c from rows a join (select distinct file, c from head) b using (file) where a.r <= 40),
+    below as (select p.file, p.r, p.c, count(*) filter (h.filled > 1) as used, count(*) filter (h.r <= p.r + 10) as near_cells,
+                count(*) filter (h.r <= p.r + 10 and h.shape in ('number', 'date')) as near_typed, count(*) filter (h.r <= p.r + 20) as seen
+              from spots p join head h on h.file = p.file and h.c = p.c and h.r between p.r + 1 and p.r + 60 group by 1, 2, 3),
+    common as (select file, r, c, arg_max(shape, k) as common from (
+      select p.file, p.r, p.c, h.shape, {'n': count(*), 'first': -min(h.r)} as k from spots p join head h on h.file = p.file and h.c = p.c and h.r between p.r + 1 and p.r + 20
+      group by 1, 2, 3, 4) group by 1, 2, 3),
+    parts as (select p.file, p.r, count(h.text) as cells, count(*) filter (h.likely) as likely, count(distinct lower(h.text)) as labels,
+        count(*) filter (coalesce(used, 0) >= greatest(1, wide_rows // 5)) as body_cols,
+        count(*) filter (h.text is not null and coalesce(used, 0) >= greatest(1, wide_rows // 5)) as covered,
+        count(*) filter (h.text is not null and coalesce(used, 0) < greatest(1, wide_rows // 5)) as surplus,
+        coalesce(sum(near_cells), 0) as near_cells, coalesce(sum(near_typed), 0) as near_typed,
+        count(*) filter (h.text is not null and seen >= 3) as judged, count(*) filter (h.text is not null and seen >= 3 and h.shape <> common) as differing
+      from spots p join near using (file, r) left join head h on h.file = p.file and h.r = p.r and h.c = p.c
+      left join below b on b.file = p.file and b.r = p.r and b.c = p.c left join common k on k.file = p.file and k.r = p.r and k.c = p.c group by 1, 2),
+    ratios as (select p.file, p.r, likely / cells as header_ratio, labels / cells as distinct_ratio,
+        case when body_cols > 0 then covered / body_cols * (1 - 0.3::double * (surplus / cells)) else 1 - least(1, abs(cells - body_width) / body_width) end as width_match,
+        case when near_cells > 0 then near_typed / near_cells else 0 end as typed_contrast, case when judged > 0 then differing / judged else 0 end as column_contrast
+      from parts p join near using (file, r) join modal using (file, r) where cells >= 2 and body_width >= 2 and rows_beneath > 0),
+    raw as (select *, 0.25::double * header_ratio + 0.15::double * distinct_ratio + 0.2::double * width_match + 0.15::double * least(1, typed_contrast * 1.5::double)
+        + 0.25::double * column_contrast as raw from ratios)
+    select file, 'Orders' as sheet, r as header_row, round(header_ratio, 9) as header_ratio, round(distinct_ratio, 9) as distinct_ratio, round(width_match, 9) as width_match,
+      round(typed_contrast, 9) as typed_contrast, round(column_contrast, 9) as column_contrast,
+      round(if(typed_contrast < 0.05 and header_ratio > 0.9 and column_contrast < 0.5, raw * 0.4::double, raw), 9) as score from raw"""
+
+
+@query("P2 P3 P4", _SCORES)
 def sheet_header_scores(t: Tables):
-    return G.header_scores(customer_sheets(t))
+    parts = ("header_ratio", "distinct_ratio", "width_match", "typed_contrast", "column_contrast", "score")
+    return G.header_scores(customer_sheets(t)).withColumns({c: F.round(c, 9) for c in parts})
 
 
 @query("P6 P7 P8", f"""
