@@ -369,6 +369,10 @@ class Workbooks:
         self.summary = table_summary(self.rows, self.headers, self.columns)
         self.outcomes = outcomes(cells, self.headers, self.summary)
 
+    def shapes(self) -> list[str]:
+        """The distinct shapes of all sheets, in order; a shape is one typed table."""
+        return [r[0] for r in self.summary.select("source_signature").distinct().orderBy("source_signature").collect()]
+
     def table(self, file: str | None = None, sheet: str | None = None, signature: str | None = None) -> DataFrame:
         """One sheet's table, or all sheets of one shape (``signature``) as one table."""
         wanted = self.summary

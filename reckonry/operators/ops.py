@@ -28,18 +28,29 @@ def job_telemetry(jobs: DataFrame, workspaces: DataFrame, datasets: DataFrame) -
         "fell_back": (F.col("status") == "succeeded") & F.col("kind").isin(*fv.MODEL_BACKED_KINDS) & model.isNull()})
 
 
-def model_health(jobs: DataFrame, kinds=fv.MODEL_BACKED_KINDS) -> DataFrame:
-    """Per kind since the first job that recorded a model."""
+def _since_first_model(jobs: DataFrame, kinds) -> DataFrame:
     tagged = jobs.withColumn("model", model_used(F.col("result")))
     since = tagged.where("model is not null").agg(F.min("created_at").alias("since"))
-    scoped = tagged.where(F.col("kind").isin(*kinds)).join(F.broadcast(since), F.col("created_at") >= F.col("since"))
+    return tagged.where(F.col("kind").isin(*kinds)).join(F.broadcast(since), F.col("created_at") >= F.col("since"))
+
+
+def seen_at_work(jobs: DataFrame, kinds=fv.MODEL_BACKED_KINDS) -> DataFrame:
+    """(kind, what, name, jobs): every model and worker seen since the first job that recorded a model, a line each."""
+    scoped = _since_first_model(jobs, kinds)
+    either = scoped.select("kind", F.explode(F.create_map(F.lit("model"), "model", F.lit("worker"), "claimed_by")).alias("what", "name"))
+    return either.where("name is not null").groupBy("kind", "what", "name").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+def model_health(jobs: DataFrame, kinds=fv.MODEL_BACKED_KINDS) -> DataFrame:
+    """Per kind since the first job that recorded a model; :func:`seen_at_work` names its models and workers."""
+    scoped = _since_first_model(jobs, kinds)
     ok = F.col("status") == "succeeded"
     bare = ok & F.col("model").isNull()
     return scoped.groupBy("kind").agg(
         F.count_if(ok).alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed_jobs"),
         F.count_if(ok & F.col("model").isNotNull()).alias("model_ran"), F.count_if(bare).alias("degraded"),
         F.min(F.when(bare, F.col("created_at"))).alias("first_degraded_at"), F.max(F.when(bare, F.col("created_at"))).alias("last_degraded_at"),
-        F.array_sort(F.collect_set("model")).alias("models_seen"), F.array_sort(F.collect_set("claimed_by")).alias("workers_seen"),
+        F.count_distinct("model").alias("models"), F.count_distinct("claimed_by").alias("workers"),
         F.round(F.avg(_seconds("started_at", "finished_at")), 2).alias("avg_seconds"))
 
 

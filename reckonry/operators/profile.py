@@ -67,6 +67,10 @@ def value_counts(df: DataFrame, columns: list[str], row: str | None = SOURCE_ROW
     )
 
 
+def _exact_cents(d: Column) -> Column:
+    return d.try_cast("decimal(30, 8)") * 100
+
+
 def _single_row(df: DataFrame, types: dict[str, str]) -> DataFrame:
     parts, rows = [F.count(F.lit(1)).alias("row_count")], []
     for i, (name, kind) in enumerate(types.items()):
@@ -77,13 +81,14 @@ def _single_row(df: DataFrame, types: dict[str, str]) -> DataFrame:
         if kind == "number":
             d = c.cast("double")
             parts += [
-                F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.sum(d).alias(f"sum{i}"),
+                F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.when(F.count(d) == F.count(_exact_cents(d)), F.try_sum(_exact_cents(d))).alias(f"sum{i}"), F.sum(d).alias(f"rough{i}"),
                 F.count_if(d < 0).alias(f"neg{i}"), F.count_if(d == 0).alias(f"zero{i}"),
             ]
             fields |= {
                 "minimum": F.round(f"min{i}", 2), "maximum": F.round(f"max{i}", 2),
-                "total": F.round(f"sum{i}", 2),
-                "mean": F.round(F.col(f"sum{i}") / F.nullif(F.col(f"filled{i}"), F.lit(0)), 4),
+                # exact in any task order; beyond what a decimal holds, a sum of doubles
+                "total": F.coalesce(units(F.col(f"sum{i}")), F.round(f"rough{i}", 2)),
+                "mean": F.round(F.coalesce(F.col(f"sum{i}").cast("double") / 100, F.col(f"rough{i}")) / F.nullif(F.col(f"filled{i}"), F.lit(0)), 4),
                 "negative_count": F.col(f"neg{i}"), "zero_count": F.col(f"zero{i}"),
             }
         elif kind == "date":

@@ -83,15 +83,19 @@ def record_hits(table: DataFrame, keys: DataFrame) -> DataFrame:
         "hit_count", F.col("hit_count") + F.coalesce("hit", F.lit(0))).select(*table.columns)
 
 
-def match_recipe(recipes: DataFrame, versions: DataFrame, runs: DataFrame, workspace, signature) -> DataFrame:
-    """The enabled recipe whose signature is exactly this one, with its run count."""
-    wanted = recipes.where(
-        (F.col("workspace_id") == workspace) & (F.col("source_signature") == signature) & F.col("enabled"))
-    current = wanted.join(versions.drop("recipe_id"), F.col("current_version_id") == F.col("recipe_version_id"))
+def match_recipes(arrivals: DataFrame, recipes: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """The enabled recipe of each arriving (workspace_id, source_signature), with its run count; the first by id of several.
+
+    An arrival without such a recipe has no row. Arrivals that repeat count once.
+    """
+    keys = ["workspace_id", "source_signature"]
+    first = arrivals.select(*keys).distinct().join(recipes.where("enabled").drop("enabled"), keys).groupBy(*keys).agg(
+        F.min(F.struct("recipe_id", "recipe_name", "current_version_id")).alias("r")).select(*keys, "r.*")
+    current = first.join(versions.drop("recipe_id"), F.col("current_version_id") == F.col("recipe_version_id"))
     counts = runs.groupBy("recipe_version_id").agg(F.count(F.lit(1)).alias("run_count"))
     return current.join(counts, "recipe_version_id", "left").select(
-        "recipe_id", "recipe_name", "recipe_version_id", "version_no", "steps", "invariants",
-        F.coalesce("run_count", F.lit(0)).alias("run_count")).limit(1)
+        *keys, "recipe_id", "recipe_name", "recipe_version_id", "version_no", "steps", "invariants",
+        F.coalesce("run_count", F.lit(0)).alias("run_count"))
 
 
 def capture_versions(versions: DataFrame, captured: DataFrame) -> DataFrame:

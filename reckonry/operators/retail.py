@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reckonry.functions import fixed_values as fv
 from reckonry.plans.staging import stage
@@ -242,18 +242,30 @@ def margin_insight(pair: DataFrame) -> DataFrame:
         _insight(pair, points >= fv.MARGIN_POINTS, "margin_up", "good", values))
 
 
-def expense_insights(categories: DataFrame, pair: DataFrame) -> DataFrame:
-    """Cost categories of the newest period that jumped or appeared."""
-    two = categories.join(F.broadcast(pair.select(F.col("cur.period_start").alias("c"), F.col("prev.period_start").alias("p"))), F.lit(True))
-    here = two.where("period_start = c and p is not null and kind <> 'revenue'").select("category", F.col("amount").alias("now"))
-    before = two.where("period_start = p").select("category", F.col("amount").alias("was"))
-    both = here.join(before, "category", "left").withColumn("was", F.coalesce("was", F.lit(0).cast("decimal(38,10)")))
+def neighbours(periods: DataFrame) -> DataFrame:
+    """(period_start, earlier) of every period that has one before it; a line a period."""
+    return periods.select("period_start", F.lag("period_start").over(Window.orderBy("period_start")).alias("earlier")).where("earlier is not null")
+
+
+def expense_changes(categories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cost categories that jumped or appeared from one period to another, for each of ``pairs``(period_start, earlier)."""
+    amounts = categories.groupBy("period_start", "category").agg(
+        F.sum(F.when(F.col("kind") != "revenue", F.col("amount"))).alias("now"), F.sum("amount").alias("was"))
+    here = amounts.where("now is not null").drop("was").join(pairs, "period_start")
+    before = amounts.select(F.col("period_start").alias("earlier"), "category", "was")
+    both = here.join(before, ["earlier", "category"], "left").withColumn("was", F.coalesce("was", F.lit(0).cast("decimal(38,10)")))
     moved = F.col("now") - F.col("was")
     material = F.abs(moved) >= fv.MATERIAL_AMOUNT
-    values = {"category": F.col("category"), "previous": F.round(F.col("was").cast("double"), 2), "current": F.round(F.col("now").cast("double"), 2)}
     spike = material & (F.col("was") > 0) & (moved / F.nullif(F.col("was"), F.lit(0)) >= fv.SPIKE_RATIO)
     new = material & (F.col("was") == 0) & (F.col("now") >= fv.MATERIAL_AMOUNT)
-    return _insight(both, spike, "expense_spike", "watch", values).unionByName(_insight(both, new, "new_expense", "watch", values))
+    return both.withColumn("code", F.when(spike, "expense_spike").when(new, "new_expense")).where("code is not null").select(
+        "period_start", "code", "category", F.round(F.col("was").cast("double"), 2).alias("previous"), F.round(F.col("now").cast("double"), 2).alias("current"))
+
+
+def expense_insights(categories: DataFrame, pair: DataFrame) -> DataFrame:
+    """Cost categories of the newest period that jumped or appeared."""
+    one = pair.where("prev is not null").select(F.col("cur.period_start").alias("period_start"), F.col("prev.period_start").alias("earlier"))
+    return _insight(expense_changes(categories, F.broadcast(one)), F.lit(True), F.col("code"), "watch", {c: F.col(c) for c in ("category", "previous", "current")})
 
 
 def concentration_insight(top: DataFrame, code: str, share: float) -> DataFrame:

@@ -1,5 +1,7 @@
 """Sheets built from the given tables: one messy workbook per customer."""
 
+from functools import reduce
+
 from pyspark.sql import Window, functions as F
 
 from reckonry.operators import grid as G
@@ -120,11 +122,12 @@ def sheet_columns(t: Tables):
 @query("P12", """
     select o_orderkey as order_no, cast(o_orderdate as date)::varchar as date, case when o_orderkey % 3 = 2 then -o_totalprice else o_totalprice end as net_sales, o_orderstatus as status from orders""")
 def sheet_tables(t: Tables):
-    """All sheets of one shape as one typed table."""
+    """The sheets of every shape as one typed table each, laid together."""
     book = G.Workbooks(customer_sheets(t))
-    shape = book.summary.select("source_signature").first()[0]
-    return book.table(signature=shape).select(
+    tables = [book.table(signature=shape).select(
         F.regexp_replace("order_no", "ORD-", "").cast("long").alias("order_no"), F.col("date").cast("string").alias("date"), "net_sales", "status")
+        for shape in book.shapes()]
+    return reduce(lambda a, b: a.unionByName(b), tables)
 
 
 @query("P13 P14 S11", f"""

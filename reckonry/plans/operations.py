@@ -50,18 +50,26 @@ _HEALTH = _JOBS + """
       h as (select kind, count(*) filter (where status = 'succeeded') as succeeded, count(*) filter (where status = 'failed') as failed_jobs,
               count(*) filter (where status = 'succeeded' and model is not null) as model_ran, count(*) filter (where status = 'succeeded' and model is null) as degraded,
               min(created_at) filter (where status = 'succeeded' and model is null) as first_degraded_at, max(created_at) filter (where status = 'succeeded' and model is null) as last_degraded_at,
-              array_to_string(list_sort(list(distinct model) filter (where model is not null)), ',') as models_seen, array_to_string(list_sort(list(distinct claimed_by)), ',') as workers_seen
+              count(distinct model) as models, count(distinct claimed_by) as workers
             from j, s where kind in ('propose_cleaning', 'generate_report', 'query_dataset') and created_at >= s.t group by 1)"""
 
 
 @query("O2", _HEALTH + """
     select kind, succeeded, failed_jobs, model_ran, degraded, strftime(first_degraded_at, '%Y-%m-%d %H:%M:%S') as first_degraded_at,
-           strftime(last_degraded_at, '%Y-%m-%d %H:%M:%S') as last_degraded_at, models_seen, workers_seen from h""")
+           strftime(last_degraded_at, '%Y-%m-%d %H:%M:%S') as last_degraded_at, models, workers from h""")
 def model_health(t: Tables):
     h = O.model_health(jobs(t))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return h.select("kind", "succeeded", "failed_jobs", "model_ran", "degraded", stamp("first_degraded_at"), stamp("last_degraded_at"),
-                    F.concat_ws(",", "models_seen").alias("models_seen"), F.concat_ws(",", "workers_seen").alias("workers_seen"))
+    return h.select("kind", "succeeded", "failed_jobs", "model_ran", "degraded", stamp("first_degraded_at"), stamp("last_degraded_at"), "models", "workers")
+
+
+@query("O2", _JOBS + """
+    , s as (select min(created_at) as t from j where model is not null),
+      x as (select * from j, s where kind in ('propose_cleaning', 'generate_report', 'query_dataset') and created_at >= s.t)
+    select kind, 'model' as what, model as name, count(*) as jobs from x where model is not null group by 1, 3
+    union all select kind, 'worker', claimed_by, count(*) from x where claimed_by is not null group by 1, 3""")
+def seen_at_work(t: Tables):
+    return O.seen_at_work(jobs(t))
 
 
 @query("O3", _HEALTH + """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reckonry.operators import retail as P
 from reckonry.plans.catalog import Tables, query
 from reckonry.plans.ledgers import base_ledger
+from reckonry.plans.staging import stage
 
 _LEDGER = """
     with g as (
@@ -194,19 +195,18 @@ def insight_margin(t: Tables):
     return P.margin_insight(pair).select("code", "severity", F.get_json_object("values", "$.points").cast("double").alias("points"))
 
 
-@query("F14", _LEDGER + f""",
-    c as (select {_start('yearly')} as s, kind, category, sum(amount) as a from g where d between date '1995-10-01' and date '1996-12-31' group by 1, 2, 3),
-    x as (select max(s) as y from c), n as (select category, a from c, x where s = y and kind <> 'revenue'),
-    b as (select category, a from c where s = (select max(s) from c, x where s < y)),
-    j as (select category, n.a as now, coalesce(b.a, 0) as was from n left join b using (category))
-    select case when was > 0 then 'expense_spike' else 'new_expense' end as code, category, round(was, 2) as previous, round(now, 2) as current from j
+@query("F14", _periods_cte("monthly") + """,
+    e2 as (select s, lag(s) over (order by s) as before from q),
+    n as (select s, category, sum(amount) filter (kind <> 'revenue') as now, sum(amount) as a from k group by 1, 2),
+    j as (select n.s, n.category, n.now, coalesce(b.a, 0) as was from n join e2 using (s) left join n b on b.s = e2.before and b.category = n.category
+          where n.now is not null and e2.before is not null)
+    select cast(s as varchar) as month, case when was > 0 then 'expense_spike' else 'new_expense' end as code, category, round(was, 2) as previous, round(now, 2) as current from j
     where abs(now - was) >= 50 and ((was > 0 and (now - was) / was >= 0.4) or (was = 0 and now >= 50))""")
 def insight_expenses(t: Tables):
-    cube = P.daily_cube(base_ledger(t).where("occurred_on between date '1995-10-01' and date '1996-12-31'"))
-    pair = P.last_two(P.build_periods(cube, "yearly"))
-    found = P.expense_insights(P.category_shares(cube, "yearly"), pair)
-    return found.select("code", F.get_json_object("values", "$.category").alias("category"),
-                        *[F.get_json_object("values", f"$.{c}").cast("double").alias(c) for c in ("previous", "current")])
+    """Every month of the whole ledger against the month before it."""
+    cube = stage(P.daily_cube(base_ledger(t)), "cube")
+    found = P.expense_changes(P.category_shares(cube, "monthly"), P.neighbours(P.build_periods(cube, "monthly")))
+    return found.select(F.col("period_start").cast("string").alias("month"), "code", "category", "previous", "current")
 
 
 @query("F15", _LEDGER + """,

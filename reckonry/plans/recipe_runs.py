@@ -238,15 +238,17 @@ def _recipes(t: Tables):
 
 
 @query("M5", """
-    with cur as (select o_custkey, max(o_orderkey) as v from orders group by 1),
-         pick as (select c_custkey, c_name from customer join cur on o_custkey = c_custkey where c_acctbal > 0 order by c_custkey limit 1)
-    select c_custkey as recipe_id, c_name as recipe_name, o_orderkey as recipe_version_id, o_orderkey as version_no, o_orderpriority as steps,
+    with cur as (select o_custkey, max(o_orderkey) as v from orders group by 1)
+    select c_nationkey as workspace_id, c_name as name, c_custkey as recipe_id, o_orderkey as recipe_version_id, o_orderpriority as steps,
            o_orderstatus as invariants, (select count(*) from lineitem where l_orderkey = o_orderkey) as run_count
-    from pick join cur on o_custkey = c_custkey join orders on o_orderkey = v""")
+    from customer join cur on o_custkey = c_custkey join orders on o_orderkey = v where c_acctbal > 0""")
 def recipe_match(t: Tables):
+    """Files of all customers arrive, and files of suppliers that no recipe knows."""
     recipes, versions, runs = _recipes(t)
-    one = recipes.where("enabled").orderBy("recipe_id").select("workspace_id", "source_signature").first()
-    return M.match_recipe(recipes, versions, runs, one.workspace_id, one.source_signature)
+    arrivals = t.customer.select(F.col("c_nationkey").alias("workspace_id"), F.sha2("c_name", 256).alias("source_signature")).unionByName(
+        t.supplier.select(F.col("s_nationkey").alias("workspace_id"), F.sha2("s_name", 256).alias("source_signature")))
+    return M.match_recipes(arrivals, recipes, versions, runs).select(
+        "workspace_id", F.col("recipe_name").alias("name"), "recipe_id", "recipe_version_id", "steps", "invariants", "run_count")
 
 
 @query("M6", """
