@@ -5,8 +5,9 @@
 2. ``hashes`` universal functions ``a*x + b mod 2**64`` give a signature; ``rows`` minima make a
    band. A pair of similarity s shares no band with probability ``(1 - s**rows)**bands``: below
    2e-7 at 0.85 for 27 bands of 5.
-3. Members of a band bucket meet its pivots, never each other all at once. A pair counts only when
-   the full sets agree. Pivots that met all others leave the bucket, members of one component need
+3. Members of a band bucket meet its pivots, never each other all at once, and a pair meets in the first
+   band that it shares only. Its signatures are compared: where too few minima agree for the
+   similarity asked for (six standard deviations too few), it goes. A pair counts only when the full sets agree. Pivots that met all others leave the bucket, members of one component need
    no more checks, and the number of pivots grows each round until no bucket holds two
    components: every candidate pair that could still join two components has then been checked.
    Shingles that only one set has bound its intersections from above, which spares edited copies
@@ -45,6 +46,12 @@ class MinHash:
         drawn = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
         return drawn[:n] | np.uint64(1), drawn[n:]
 
+    @property
+    def agreeing(self) -> int:
+        """Minima that agree in all but about one in a billion of the pairs at the similarity asked for."""
+        n, s = self.rows * self.bands, self.percent / 100
+        return max(0, int(n * s - 6 * (n * s * (1 - s)) ** 0.5))
+
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after another, and their bounds."""
@@ -55,11 +62,11 @@ def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(own) if own else np.empty(0, np.uint64), bounds
 
 
-def _minima(hashes: np.ndarray, bounds: np.ndarray, spec: MinHash) -> np.ndarray:
-    """Band keys, one row of ``spec.bands`` for each non-empty set."""
+def _minima(hashes: np.ndarray, bounds: np.ndarray, spec: MinHash) -> tuple[np.ndarray, np.ndarray]:
+    """For each non-empty set its ``spec.bands`` band keys, and 16 bits of each minimum."""
     a, b = spec.functions()
     full = np.flatnonzero(np.diff(bounds))
-    keys = np.zeros((len(full), spec.bands), np.uint64)
+    keys, bits = np.zeros((len(full), spec.bands), np.uint64), np.zeros((len(full), len(a)), np.int16)
     at = 0
     while at < len(full):  # pieces that stay in the cache
         until = max(at + 1, int(np.searchsorted(bounds[full], bounds[full[at]] + (1 << 16), "left")))
@@ -70,33 +77,34 @@ def _minima(hashes: np.ndarray, bounds: np.ndarray, spec: MinHash) -> np.ndarray
             np.multiply(piece, a[k], out=value)
             value += b[k]
             least = np.minimum.reduceat(value, cuts)
+            bits[at:until, k] = mix(least).astype(np.uint16).view(np.int16)
             keys[at:until, k // spec.rows] = (keys[at:until, k // spec.rows] + least) * np.uint64(0xC2B2AE3D27D4EB4F)
         at = until
-    return mix(keys + np.arange(1, spec.bands + 1, dtype=np.uint64))
+    return mix(keys + np.arange(1, spec.bands + 1, dtype=np.uint64)), bits
 
 
 def signatures(docs: DataFrame, spec: MinHash) -> DataFrame:
-    """doc_id, n_shingles, set_key (two words that stand for the set), bands (null for an empty set)."""
+    """doc_id, n_shingles, set_key (two words that stand for the set), bands and minima (empty for an empty set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, bounds = _sets(part.column("text"), spec.size)
-                counts, keys = np.diff(bounds), _minima(hashes, bounds, spec)
+                counts, (keys, bits) = np.diff(bounds), _minima(hashes, bounds, spec)
                 full, key = counts > 0, np.zeros((len(counts), 2), np.uint64)
                 if full.any():
                     cuts = bounds[:-1][full]
                     key[full, 0] = np.add.reduceat(mix(hashes), cuts)
                     key[full, 1] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), cuts)
-                edges = np.concatenate(([0], np.cumsum(full) * spec.bands)).astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum(full)))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(counts, pa.int64()),
                     pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.view(np.int64).ravel())),
-                ], ["doc_id", "n_shingles", "key_a", "key_b", "bands"])
+                    *(pa.ListArray.from_arrays(pa.array((ends * x.shape[1]).astype(np.int32)), pa.array(x.ravel())) for x in (keys.view(np.int64), bits)),
+                ], ["doc_id", "n_shingles", "key_a", "key_b", "bands", "minima"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
+        work, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, minima array<short>")
 
 
 def shingle_sets(docs: DataFrame, spec: MinHash) -> DataFrame:
@@ -149,8 +157,8 @@ def near_duplicates(docs: DataFrame, spec: MinHash = MinHash()) -> DataFrame:
     signed = stage(signatures(docs, spec), "signatures")
     known = signed.where("n_shingles > 0 and doc_id is not null")
     folded = stage(
-        known.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
-        .select("key_a", "key_b", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.bands"), "folded")
+        known.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "minima")).alias("r"))
+        .select("key_a", "key_b", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.bands", "r.minima"), "folded")
     linked = _linked(docs, folded, spec)
     named = folded.select("key_a", "key_b", "rep").join(linked, folded["rep"] == linked["node"], "left").select(
         "key_a", "key_b", F.coalesce("component", "rep").alias("component"))
@@ -179,8 +187,10 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")).where("rep = high").groupBy("rep").agg(F.count("*").alias("own"))
     several = sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("rep"))  # ids with two texts
     alone = alone.join(several, "rep", "left_anti")
-    members = members.join(alone, "rep", "left").select("band", "rep", "n_shingles", F.coalesce("own", F.lit(0)).alias("own"), F.col("rep").alias("component"),
-                                                         F.lit(False).alias("linked"))
+    # an id with two texts has several signatures; its pairs go to the exact check by any of them
+    of_rep = stage(folded.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n_shingles", "bands", "minima"), "signed")
+    members = members.join(alone, "rep", "left").join(of_rep.drop("minima"), ["rep", "n_shingles"]).where(F.array_contains("bands", F.col("band"))).select(
+        "band", "rep", "n_shingles", "bands", F.coalesce("own", F.lit(0)).alias("own"), F.col("rep").alias("component"), F.lit(False).alias("linked"))
     met = spark.createDataFrame([], "x long, y long")
     pivots = 1
     while True:
@@ -191,9 +201,10 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
         most = "least(n_shingles - own, lead_shingles - lead_own)"
         pairs = members.join(lead, "band").where(
             f"component <> lead_component and 100 * {most} >= {spec.percent} * (n_shingles + lead_shingles - {most})"
+            " and element_at(array_intersect(bands, lead_bands), 1) = band"  # in bands' order: the first that both have
         ).select(F.least("rep", "lead").alias("x"), F.greatest("rep", "lead").alias("y"), F.least("component", "lead_component").alias("low"),
                  F.greatest("component", "lead_component").alias("high")).distinct()
-        pairs = stage(pairs.join(met, ["x", "y"], "left_anti"), "pairs")
+        pairs = stage(_agreeing(pairs.join(met, ["x", "y"], "left_anti"), of_rep, spec), "pairs")
         if pairs.head(1):
             met = met.union(pairs.select("x", "y"))
             a = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("one"))
@@ -207,12 +218,20 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
                 found = stage(found.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")).union(
                     merged.select("node", "component")).distinct(), "found")
         # pivots have met every other component's members of their buckets, so they leave
-        rest = members.select("band", "rep", "n_shingles", "own").join(lead.select("band", F.col("lead").alias("rep")), ["band", "rep"], "left_anti")
+        rest = members.select("band", "rep", "n_shingles", "bands", "own").join(lead.select("band", F.col("lead").alias("rep")), ["band", "rep"], "left_anti")
         members = rest.join(found, F.col("rep") == F.col("node"), "left").select(
-            "band", "rep", "n_shingles", "own", F.coalesce("component", "rep").alias("component"), F.col("node").isNotNull().alias("linked"))
+            "band", "rep", "n_shingles", "bands", "own", F.coalesce("component", "rep").alias("component"), F.col("node").isNotNull().alias("linked"))
         pivots *= 8
 
 
+def _agreeing(pairs: DataFrame, of_rep: DataFrame, spec: MinHash) -> DataFrame:
+    """Pairs whose signatures agree in as many minima as the similarity lets expect."""
+    x = of_rep.select(F.col("rep").alias("x"), F.col("minima").alias("one"))
+    y = of_rep.select(F.col("rep").alias("y"), F.col("minima").alias("two"))
+    agree = F.size(F.filter(F.zip_with("one", "two", lambda a, b: a == b), lambda same: same))
+    return pairs.join(x, "x").join(y, "y").where(agree >= spec.agreeing).select(*pairs.columns).distinct()
+
+
 def _torn(members: DataFrame, spec: MinHash) -> DataFrame:
     """Members of buckets that hold two components, without those that can link with no other there.
 
@@ -234,7 +253,7 @@ def _leads(members: DataFrame, pivots: int) -> DataFrame:
     """
     order = Window.partitionBy("band").orderBy("linked", "own", "rep")
     return members.withColumn("k", F.row_number().over(order)).where(f"k <= {pivots}").select(
-        "band", F.col("rep").alias("lead"), F.col("n_shingles").alias("lead_shingles"), F.col("own").alias("lead_own"),
+        "band", F.col("rep").alias("lead"), F.col("n_shingles").alias("lead_shingles"), F.col("own").alias("lead_own"), F.col("bands").alias("lead_bands"),
         F.col("component").alias("lead_component"))
 
 
