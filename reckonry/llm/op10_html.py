@@ -5,8 +5,8 @@ tree matching aligns every page of the host with it, and nodes of a page that al
 the wrapper by their place below the nearest node that does, so second layouts are in it too. Over
 all distinct pages of the host, a wrapper node with one text in most of the pages that have it is
 template; one whose text varies is a slot. A block of a page is left out if its node is template and
-its own text is that constant text, or if the element or class says that it is no article (menus,
-footers, adverts, forms and so on). An article or main element raises what is asked of a constant
+its own text is that constant text, or if the element or a whole class name says that it is no article (menus,
+footers, adverts, forms and so on). Class names decide nothing on html, body, article, main and headings. An article or main element raises what is asked of a constant
 inside it (nearly all pages that have it agree, three at least), and decides nothing alone.
 
 The wrapper of a host is small (element names and text hashes, no text) and rides to its pages in a
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,6 +46,10 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ban
                         "breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice notices notification alert popup modal "
                         "comment comments commentlist disqus respond reply share sharing social related newsletter subscribe signup login search "
                         "pagination pager widget toolbar complementary contentinfo".split())
+#: Parts that a class name may have beside such a word; with any other part it names something else (share-price, article-header).
+AROUND = frozenset("site page main global top bottom left right box bar wrap wrapper container block section area slot list form link links button buttons "
+                   "item items inner outer content primary secondary mobile desktop".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WITHIN_TEXT = LEFT_OUT - frozenset("head nav footer aside form dialog menu".split())  # left out, but no end of a block
 CONTENT = frozenset(("article", "main"))
 #: A wrapper node is constant if more than this share of the pages that have it have one text there;
@@ -52,6 +57,7 @@ CONTENT = frozenset(("article", "main"))
 MOST, NEARLY_ALL, PAGES = 0.5, 0.9, 3
 #: Elements nested deeper lie side by side at this depth; their text stays in place.
 DEPTH = 400
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))  # matching takes a few frames a level
 #: Child lists whose table would be larger are split where the best match splits them (linear space).
 TABLE = 250_000
 
@@ -323,12 +329,19 @@ def hashes(tree: list) -> Iterator[tuple[int, int]]:
 
 # ---- text --------------------------------------------------------------------------------------
 
-def boilerplate(node: Node) -> bool:
-    return node.tag in LEFT_OUT or bool(node.marks) and not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", node.marks))
+def boilerplate(node: Node, inside: bool = False) -> bool:
+    """Whether the element or one of its class names as a whole says that it is no article; inside one, a header belongs to it."""
+    if node.tag in LEFT_OUT:
+        return True
+    if not node.marks or node.tag in CONTENT or node.tag in HEADINGS or node.tag in ("html", "body"):
+        return False
+    words = BOILERPLATE - {"header", "masthead", "banner"} if inside else BOILERPLATE
+    return any(not words.isdisjoint(parts) and all(x in words or x in AROUND or x.isdigit() for x in parts)
+               for parts in ([x for x in re.split(r"[-_:]+", name) if x] for name in node.marks.split()))
 
 
 def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[int] = frozenset()) -> str:
-    """Blocks of the page's content, one a line.
+    """Blocks of the page's content, an empty line between two.
 
     ``shared`` holds the numbers of the page's nodes whose text is the host's, ``firm`` those of them
     that hold inside an article or main element too. Their text is left out.
@@ -341,7 +354,7 @@ def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[
         count += 1
         inside = inside or node.tag in CONTENT
         # the header of an article holds its heading
-        shown = shown and not boilerplate(node) and not (node.tag == "header" and not inside)
+        shown = shown and not boilerplate(node, inside) and not (node.tag == "header" and not inside)
         use = shown and count not in (firm if inside else shared)
         run: list[str] = []
 
@@ -360,7 +373,7 @@ def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[
             elif x.tag in INLINE:
                 if x.tag == "br":
                     run.append(" ")
-                seen = seen and not boilerplate(x)
+                seen = seen and not boilerplate(x, inside)
                 todo += [(y, seen) for y in reversed(x.children)]
             elif x.tag in WITHIN_TEXT:
                 walk(x, inside, False)
@@ -370,7 +383,7 @@ def main_text(root: Node, shared: frozenset[int] = frozenset(), firm: frozenset[
         flush()
 
     walk(root, False, True)
-    return "\n".join(blocks)
+    return "\n\n".join(blocks)
 
 
 # ---- Spark -------------------------------------------------------------------------------------

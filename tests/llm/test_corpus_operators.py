@@ -259,9 +259,9 @@ def test_page_text(spark):
     got = sorted(map(tuple, pages.extract(table).collect()), key=lambda r: r[0])
     assert len(got) == len(rows) and all(len(r[2]) == r[3] for r in got)
     text = {r[0]: r[2] for r in got}
-    assert text[1] == "Head & more\nOne two three four\nFive six" and text[2] == "Kept\nA < B é\nx\ny"
+    assert text[1] == "Head & more\n\nOne two three four\n\nFive six" and text[2] == "Kept\n\nA < B é\n\nx\n\ny"
     assert text[3] == text[4] == "" and text[5] == "deep" and text[6] == "plain text < 3"
-    assert text[12] == "Story 12\nmore of 12"  # what all pages of the host share is template
+    assert text[12] == "Story 12\n\nmore of 12"  # what all pages of the host share is template
     assert pages.extract(table.where("false")).collect() == []
 
 
@@ -295,9 +295,9 @@ def test_wrapper_decides_on_pages_with_articles(spark):
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     text = {r["page_id"]: r["text"] for r in pages.extract(table).collect()}
     assert all(text[k] == f"Story {k}" for k in range(8))  # a constant of the host inside its articles
-    assert all(text[20 + k] == f"Long story {k}\nTeaser {k}" for k in range(4))  # an article element that is only a teaser
+    assert all(text[20 + k] == f"Long story {k}\n\nTeaser {k}" for k in range(4))  # an article element that is only a teaser
     again = spark.createDataFrame([(k, "http://c.org/", "<article><p>One</p><p>Two</p></article>") for k in range(9)], "page_id long, url string, html string")
-    assert {r["text"] for r in pages.extract(again).collect()} == {"One\nTwo"}  # copies of one page share nothing
+    assert {r["text"] for r in pages.extract(again).collect()} == {"One\n\nTwo"}  # copies of one page share nothing
 
 
 def test_constant_text_is_compared(spark):
@@ -307,7 +307,7 @@ def test_constant_text_is_compared(spark):
     rows += [(20 + k, f"http://b.org/{k}", f"<body><main><p>Story {k}</p></main><div>Rights</div></body>") for k in range(6)]
     rows += [(30 + k, f"http://b.org/x/{k}", f"<body><table><tr><td>Row {k}</td></tr></table><section><p>All constant</p></section></body>") for k in range(6)]
     text = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(text[k] == f"Head {k}\nOwn {k}" for k in range(6, 10))
+    assert all(text[k] == f"Head {k}\n\nOwn {k}" for k in range(6, 10))
     assert all(text[20 + k] == f"Story {k}" and text[30 + k] == f"Row {k}" for k in range(6))
 
 
@@ -371,3 +371,32 @@ def test_pipeline_of_odd_tables(spark, odd_docs, no_docs, tmp_path):
         for name, function in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stage(function(spark, docs, str(tmp_path)), name)
         assert docs.count() == left
+
+
+def test_class_names_decide_as_a_whole_and_not_on_the_article_itself(spark):
+    def page(k):
+        return (f'<html><body class="single has-sidebar"><div class="site-header">Site {k}</div><article class="share">'
+                f'<div class="article-header">Lead {k}</div><h2 id="social-impact" class="social">Impact {k}</h2><p class="share-price">Price {k}</p>'
+                f'<div class="header">Kicker {k}</div><div class="cookie-notice">Notice {k}</div><div class="social-share-buttons">Share {k}</div>'
+                f'<p>Body {k}</p></article><div class="sidebar">Side {k}</div></body></html>')
+
+    rows = [(k, "http://h.example/x", page(k)) for k in range(4)] + [(9, "http://one.example/", '<body class="sidebar"><p>Whole page</p></body>')]
+    text = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == f"Lead {k}\n\nImpact {k}\n\nPrice {k}\n\nKicker {k}\n\nBody {k}" for k in range(4))
+    assert text[9] == "Whole page"
+
+
+def test_deep_pages(spark):
+    deep = lambda k, n: "<div>" * n + f"<p>Deep {k}</p><i>{k}</i>" + f"<b>x</b><p>{'y' * k}</p>" * (k % 3) + "</div>" * n
+    rows = [(k, "http://deep.example/", deep(k, n)) for k, n in enumerate((380, 395, 400, 420, 2000, 399))]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(f"Deep {r['page_id']}" in r["text"] for r in got) and len(got) == 6
+
+
+def test_odd_columns_and_long_pages_of_text(spark):
+    """Columns whose names clash with the operator's own, and a page of megabytes."""
+    story = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(1, "http://a.example/", f"<p>{story}</p>", "h", "s", 3), (1, "http://a.example/", f"<p>{story}</p>", "h", "s", 3), (None, None, "<p>none</p>", None, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string, skeleton string, n_chars long")
+    assert sorted((str(r["page_id"]), r["n_chars"], r["text"] == story) for r in pages.extract(table).collect()) == [
+        ("1", len(story), True), ("1", len(story), True), ("None", 4, False)]
