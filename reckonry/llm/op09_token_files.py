@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +25,26 @@ from reckonry.llm.batches import slices
 from reckonry.llm.words import Words, words_of
 from reckonry.plans.staging import stage
 
-BLOCK, ROUNDS, LEAST, CACHED = 1 << 20, 6, 12, 1_500_000
+BLOCK, LEAST, CACHED = 1 << 20, 12, 1_500_000
 SYMBOLS = 1 << 16
 MARK = "\x01"
+#: Texts on which a tokenizer must do as :class:`Encoder` says.
+PROBES = ("One TWO three", "  lead\tand\ntrail ", "end. Next, word,", "a.b,c d.. e,, .f", "Ünï CÖDÉ, straße.", "x1, 2.5 3, 'q.' (z).", "\x0b\x0c\r mixed\r\nlines.\n")
 
 
 # ---- grammar ---------------------------------------------------------------------------------
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): ids below ``base`` are themselves, ``base + i`` is the pair ``rules[i]``.
 
     Each round takes the pairs found ``least`` times or more, most frequent first as far as 16-bit
-    symbols last, and replaces them from left to right without overlaps.
+    symbols last, and replaces them from left to right without overlaps. Rounds go on until no pair is that frequent or
+    every symbol is taken. Ids that 16 bits can't hold raise.
     """
+    if base > SYMBOLS or len(ids) and int(ids.max()) >= base:
+        raise ValueError(f"ids of a vocabulary of {base} do not fit symbols of 16 bits")
     symbols, rules = ids.astype(np.uint16), np.empty((0, 2), np.uint16)
-    for _ in range(rounds):
+    while True:
         room = SYMBOLS - base - len(rules)
         if len(symbols) < 2 or room <= 0:
             break
@@ -147,6 +153,12 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_str(vocabulary), end_id
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self._forget()
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > SYMBOLS:
+            raise ValueError("token files hold ids of 16 bits; this vocabulary has more")
+        found, begin = self.encode(pa.array(PROBES))
+        for text, a, b in zip(PROBES, begin[:-1].tolist(), begin[1:].tolist()):
+            if found[a:b - 1].tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"this tokenizer does not read a text word by word: {text!r}")
 
     def _forget(self) -> None:
         """Known words: sorted hashes, each with its place in ``bounds``; their ids one after another."""
@@ -199,6 +211,12 @@ class Encoder:
         return out, starts + np.arange(len(texts) + 1)
 
 
+@lru_cache(1)
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    """The encoder of a worker, which keeps the words it has learned for the worker's later tasks."""
+    return Encoder(vocabulary, end_id)
+
+
 def _without_ends(words: Words) -> Words:
     """Words with a comma or full stop right after an ASCII letter as a word of its own."""
     data, last = words.data, words.ends - 1
@@ -226,7 +244,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, block:
     shipped = spark.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shipped.value, end_id)
+        encoder = encoder_of(shipped.value, end_id)
         base = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         ids, starts, pieces, held = [], [], [], 0

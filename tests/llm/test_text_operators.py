@@ -187,6 +187,16 @@ def test_grammar_round_trip():
         for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (0, 0)):
             assert (block.part(a, b) == ids[a:b]).all()
     assert len(tokens.compress(np.full(1000, 7, np.uint32), 49_408)[1]) < 100
+    with pytest.raises(ValueError):
+        tokens.compress(np.array([70_000, 70_001], np.uint32), 80_000)
+    fibonacci = [[1], [2]]
+    while len(fibonacci[-1]) < 60_000:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    word = np.array(fibonacci[-1], np.uint32)  # every round leaves pairs as frequent as before
+    rules, symbols = tokens.compress(word, 49_408)
+    left = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+    assert len(symbols) < 1000 and max(left.values()) < tokens.LEAST
+    assert (tokens.expand(symbols, rules, 49_408) == word).all()
 
 
 def test_token_files(spark, odd_docs, no_docs):
