@@ -89,3 +89,17 @@ def delimited_scan(t: Tables):
     cells = read_cells(t.spark, path)
     name = F.concat(F.lit("nation-"), F.regexp_extract("file", r"n_regionkey=(\d+)", 1))
     return cells.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("data_rows"), F.max(F.size("cells")).alias("width"))
+
+
+@query("S2", """
+    select o_orderpriority || chr(10) || 'status "' || o_orderstatus || '"' as note, count(*) as n, cast(sum(o_orderkey) as bigint) as keys from orders group by 1""")
+def delimited_split_scan(t: Tables):
+    """Orders written with quotes and line breaks in cells, read back by line ranges of the files."""
+    from reckonry.sources.delimited import read_cells
+
+    path = f"{checkpoint_folder(t.spark)}/notes-{uuid.uuid4().hex}"
+    note = F.concat("o_orderpriority", F.lit('\nstatus "'), "o_orderstatus", F.lit('"'))
+    t.orders.select("o_orderkey", note.alias("note"), F.lit("a,b").alias("more")).write.option("escape", '"').csv(path)
+    cells = read_cells(t.spark, path, whole_bytes=0)
+    return cells.groupBy(F.col("cells")[1].alias("note")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("cells")[0].cast("long")).alias("keys"))
