@@ -33,6 +33,10 @@ from reckonry.llm.words import mix, shingles_of, words_of
 from reckonry.plans.staging import stage
 
 
+#: Bytes of text that a task works on at once, with some twenty times as much beside them.
+BATCH = 4 << 20
+
+
 @dataclass(frozen=True)
 class MinHash:
     size: int = 5
@@ -88,7 +92,7 @@ def signatures(docs: DataFrame, spec: MinHash) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, BATCH):
                 hashes, bounds = _sets(part.column("text"), spec.size)
                 counts, (keys, bits) = np.diff(bounds), _minima(hashes, bounds, spec)
                 full, key = counts > 0, np.zeros((len(counts), 2), np.uint64)
@@ -112,7 +116,7 @@ def shingle_sets(docs: DataFrame, spec: MinHash) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, BATCH):
                 hashes, bounds = _sets(part.column("text"), spec.size)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "shingles"])
@@ -187,10 +191,10 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")).where("rep = high").groupBy("rep").agg(F.count("*").alias("own"))
     several = sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("rep"))  # ids with two texts
     alone = alone.join(several, "rep", "left_anti")
-    # an id with two texts has several signatures; its pairs go to the exact check by any of them
+    # signatures ride with the members, so that a pair is judged where it meets; an id with two texts has several
     of_rep = stage(folded.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n_shingles", "bands", "minima"), "signed")
-    members = members.join(alone, "rep", "left").join(of_rep.drop("minima"), ["rep", "n_shingles"]).where(F.array_contains("bands", F.col("band"))).select(
-        "band", "rep", "n_shingles", "bands", F.coalesce("own", F.lit(0)).alias("own"), F.col("rep").alias("component"), F.lit(False).alias("linked"))
+    members = members.join(alone, "rep", "left").join(of_rep, ["rep", "n_shingles"]).where(F.array_contains("bands", F.col("band"))).select(
+        "band", "rep", "n_shingles", "bands", "minima", F.coalesce("own", F.lit(0)).alias("own"), F.col("rep").alias("component"), F.lit(False).alias("linked"))
     met = spark.createDataFrame([], "x long, y long")
     pivots = 1
     while True:
@@ -202,9 +206,10 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
         pairs = members.join(lead, "band").where(
             f"component <> lead_component and 100 * {most} >= {spec.percent} * (n_shingles + lead_shingles - {most})"
             " and element_at(array_intersect(bands, lead_bands), 1) = band"  # in bands' order: the first that both have
+            f" and size(filter(zip_with(minima, lead_minima, (a, b) -> a = b), same -> same)) >= {spec.agreeing}"
         ).select(F.least("rep", "lead").alias("x"), F.greatest("rep", "lead").alias("y"), F.least("component", "lead_component").alias("low"),
                  F.greatest("component", "lead_component").alias("high")).distinct()
-        pairs = stage(_agreeing(pairs.join(met, ["x", "y"], "left_anti"), of_rep, spec), "pairs")
+        pairs = stage(pairs.join(met, ["x", "y"], "left_anti"), "pairs")
         if pairs.head(1):
             met = met.union(pairs.select("x", "y"))
             a = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("one"))
@@ -218,20 +223,12 @@ def _linked(docs: DataFrame, folded: DataFrame, spec: MinHash) -> DataFrame:
                 found = stage(found.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")).union(
                     merged.select("node", "component")).distinct(), "found")
         # pivots have met every other component's members of their buckets, so they leave
-        rest = members.select("band", "rep", "n_shingles", "bands", "own").join(lead.select("band", F.col("lead").alias("rep")), ["band", "rep"], "left_anti")
+        rest = members.select("band", "rep", "n_shingles", "bands", "minima", "own").join(lead.select("band", F.col("lead").alias("rep")), ["band", "rep"], "left_anti")
         members = rest.join(found, F.col("rep") == F.col("node"), "left").select(
-            "band", "rep", "n_shingles", "bands", "own", F.coalesce("component", "rep").alias("component"), F.col("node").isNotNull().alias("linked"))
+            "band", "rep", "n_shingles", "bands", "minima", "own", F.coalesce("component", "rep").alias("component"), F.col("node").isNotNull().alias("linked"))
         pivots *= 8
 
 
-def _agreeing(pairs: DataFrame, of_rep: DataFrame, spec: MinHash) -> DataFrame:
-    """Pairs whose signatures agree in as many minima as the similarity lets expect."""
-    x = of_rep.select(F.col("rep").alias("x"), F.col("minima").alias("one"))
-    y = of_rep.select(F.col("rep").alias("y"), F.col("minima").alias("two"))
-    agree = F.size(F.filter(F.zip_with("one", "two", lambda a, b: a == b), lambda same: same))
-    return pairs.join(x, "x").join(y, "y").where(agree >= spec.agreeing).select(*pairs.columns).distinct()
-
-
 def _torn(members: DataFrame, spec: MinHash) -> DataFrame:
     """Members of buckets that hold two components, without those that can link with no other there.
 
@@ -253,7 +250,7 @@ def _leads(members: DataFrame, pivots: int) -> DataFrame:
     """
     order = Window.partitionBy("band").orderBy("linked", "own", "rep")
     return members.withColumn("k", F.row_number().over(order)).where(f"k <= {pivots}").select(
-        "band", F.col("rep").alias("lead"), F.col("n_shingles").alias("lead_shingles"), F.col("own").alias("lead_own"), F.col("bands").alias("lead_bands"),
+        "band", F.col("rep").alias("lead"), F.col("n_shingles").alias("lead_shingles"), F.col("own").alias("lead_own"), F.col("bands").alias("lead_bands"), F.col("minima").alias("lead_minima"),
         F.col("component").alias("lead_component"))
 
 
