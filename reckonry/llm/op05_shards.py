@@ -1,9 +1,11 @@
 """Two-pass external shuffle of records into shards.
 
-Pass one scatters records by a seeded hash into buckets that fit in memory. Pass two shuffles each
+Pass one scatters records by a seeded hash of their number into buckets that fit in memory, so that equal
+records part like any others. Pass two shuffles each
 bucket by Fisher-Yates (Spark's ``shuffle``), and the buckets laid end to end give every record a
 place: place modulo the shard count is its shard, the quotient its slot. So shards differ by one row at
-most, and slots have no gaps. All steps are DataFrame operations.
+most, and slots have no gaps. Records move once: the tasks that read the shuffled buckets write them into
+the shards' folders. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ def placed(records: DataFrame, shards: int, seed: int = 17, bytes_of: str | None
     """``records`` with shard and slot added (columns of these names are replaced).
 
     Bucket counts follow from the rows and, if ``bytes_of`` names a column of record sizes, from the
-    bytes, so a bucket fits in memory at any size of the input. Equal records are placed like any
-    others. An empty table stays empty.
+    bytes, so a bucket fits in memory at any size of the input; only a record that is larger makes a larger one. Columns may be of any
+    type. The same rows in the same order, from a table or a written stage, get the same places. An empty table stays empty.
     """
     kept = records.drop("shard", "slot")
     spark = records.sparkSession
@@ -29,9 +31,10 @@ def placed(records: DataFrame, shards: int, seed: int = 17, bytes_of: str | None
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-memory_sized // BUCKETS_A_TASK))
     buckets = tasks * BUCKETS_A_TASK
     record = F.struct(*(F.col(f"`{c}`") for c in kept.columns))
-    scattered = kept.select(record.alias("record"), F.xxhash64(F.lit(seed), record).alias("draw"))
+    scattered = kept.select(record.alias("record"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("draw"))
     scattered = scattered.withColumn("bucket", F.pmod("draw", F.lit(buckets)))
-    gathered = scattered.repartition(tasks, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("draw", "record"))).alias("records"))
+    by_draw = lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)
+    gathered = scattered.repartition(tasks, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("draw", "record")), by_draw).alias("records"))
     # buckets and their records in a known order, so that the same input gives the same places
     drawn = gathered.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("records", seed)).alias("k", "r"))
     drawn = drawn.select("bucket", "k", "r.record")
@@ -46,9 +49,8 @@ def placed(records: DataFrame, shards: int, seed: int = 17, bytes_of: str | None
 
 
 def write_shards(shuffled: DataFrame, path: str, rows_a_file: int = 1 << 20) -> None:
-    """One folder a shard, its files and their rows in slot order."""
-    piece = F.floor(F.col("slot") / rows_a_file)
-    shuffled.repartition("shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder a shard, written from where the rows are; each file's rows are in slot order."""
+    shuffled.sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_a_file).partitionBy("shard").parquet(path)
 
 
 def shard_files(docs: DataFrame, shards: int, rows_a_file: int = 1 << 16) -> DataFrame:

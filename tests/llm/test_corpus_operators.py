@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -200,6 +201,22 @@ def test_shards(spark, odd_docs, no_docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3011
 
 
+def test_equal_records_part_and_columns_are_of_any_type(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET_ROWS", 100)
+    rows = spark.range(4000).selectExpr("7 as doc_id", "'same' as text", "map('k', 1) as m", "array(map('a', 2)) as n", "'x' as record", "3L as bucket")
+    path = tmp_path / "rows"
+    rows.write.parquet(str(path))
+    table = spark.read.parquet(str(path))
+    out = shards.placed(table, 4)
+    assert set(out.columns) == {"doc_id", "text", "m", "n", "record", "bucket", "shard", "slot"}
+    got = sorted((r["shard"], r["slot"]) for r in out.collect())
+    assert got == [(s, k) for s in range(4) for k in range(1000)]
+    scattered = table.select(F.pmod(F.xxhash64(F.lit(17), F.monotonically_increasing_id()), F.lit(40)).alias("b")).groupBy("b").count().collect()
+    assert len(scattered) == 40 and max(r["count"] for r in scattered) < 200  # no bucket of equal records
+    again = shards.placed(table, 4, seed=18).collect()
+    assert len(again) == 4000
+
+
 def test_query_shuffles_whole_documents(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
     paths, write = [], shards.write_shards
