@@ -178,8 +178,35 @@ def test_url_templates(spark):
     good = [(f"http://h.org/{kind}/{i}", False) for i in range(60) for kind in ("news", "blog")]
     rows = [(i, *r) for i, r in enumerate(bad + good + [("http://h.org/spam/new", None)])]
     got = {r["path"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean")).collect()}
-    assert got["/spam/new"]["template"] == "h.org/spam/*" and got["/spam/new"]["verdict"] == "block"
-    assert got["/news/3"]["template"] == "h.org/blog|news/*" and got["/news/3"]["verdict"] == "allow"
+    assert got["/spam/new"]["template"] == "h.org/spam/**" and got["/spam/new"]["verdict"] == "block"
+    assert got["/news/3"]["template"] == "h.org/blog|+1/**" and got["/news/3"]["verdict"] == "allow"
+
+
+def _judged(spark, rows, schema="page_id long, url string, bad boolean"):
+    return {(r["page_id"], r["path"]): r for r in urls.judge(spark.createDataFrame(rows, schema)).collect()}
+
+
+def test_one_bad_section_among_many_equal_ones(spark):
+    """A section with 3 % of its host's pages is told from the others by its own labels."""
+    rows = [(k, f"http://h.org/s{k % 30}/{k}", k % 30 == 7) for k in range(6000)]
+    assert all((r["verdict"] == "block") == (i % 30 == 7) for (i, _), r in _judged(spark, rows).items())
+
+
+def test_sections_below_any_depth(spark):
+    deep = "/".join("abcdefghij" * 3)
+    rows = [(k, f"http://h.org/{deep}/{'bad' if k % 2 else 'good'}/{k}", k % 2 == 1) for k in range(800)]
+    assert all((r["verdict"] == "block") == (i % 2 == 1) for (i, _), r in _judged(spark, rows).items())
+
+
+def test_odd_urls(spark):
+    """Null ids, repeats, very long paths, clashing columns."""
+    long = "x" * 300_000 + "/y" * 3000
+    rows = [(None, "http://h.org/a", None, 1, "p", "s"), (None, "http://h.org/a", None, 1, "p", "s"), (1, f"http://h.org/{long}", False, 1, "p", "s"),
+            (2, "http://h.org//", None, 1, "p", "s"), (3, "http://h.org", None, 1, "p", "s"), (3, None, False, 1, "p", "s")]
+    table = spark.createDataFrame(rows, "page_id long, url string, bad boolean, labelled int, prefix string, segments string")
+    got = urls.judge(table).collect()
+    assert len(got) == 6 and {r["verdict"] for r in got} == {"allow"}
+    assert max(len(r["path"]) for r in got) == len(long) + 1
 
 
 # ---- shards
