@@ -33,10 +33,17 @@ def stream_daily(t: Tables):
     return ST.run_updates(daily, _path(t), ["period_start", "event_type"]).withColumn("period_start", F.col("period_start").cast("string"))
 
 
-@query("ST3", "select strftime(ts, '%Y-%m-01') as period_start, count(*) as n from events group by 1")
+@query("ST3 ST2", """
+    select grain, period_start, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from (
+      select 'monthly' as grain, strftime(ts, '%Y-%m-01') as period_start, event_type, value from events
+      union all select 'yearly', strftime(ts, '%Y-01-01'), event_type, value from events) group by 1, 2, 3""")
 def stream_monthly(t: Tables):
-    monthly = ST.tumbling_periods(event_stream(t), "ts", "monthly", [], F.count(F.lit(1)).alias("n"))
-    return ST.run_updates(monthly, _path(t), ["period_start"]).withColumn("period_start", F.col("period_start").cast("string"))
+    """Months and years from the same drained days."""
+    root = _path(t)
+    ST.drain_days(event_stream(t), root, "ts", ["event_type"], {"cents": F.round(F.col("value") * 100).cast("long")})
+    both = [ST.period_totals(t.spark, root, g, ["event_type"], ["cents"]).select(
+        F.lit(g).alias("grain"), F.col("period_start").cast("string").alias("period_start"), "event_type", "n", "cents") for g in ("monthly", "yearly")]
+    return both[0].unionByName(both[1])
 
 
 @query("ST4", """
