@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from reckonry.plans.staging import stage, stage_path
 
 BUCKET_ROWS, BUCKET_BYTES, BUCKETS_A_TASK = 1 << 16, 32 << 20, 8
+#: Buckets and shards hold the whole corpus each.
+PACKED = "zstd"
 
 
 def placed(records: DataFrame, shards: int, seed: int = 17, bytes_of: str | None = None) -> DataFrame:
@@ -38,7 +40,9 @@ def placed(records: DataFrame, shards: int, seed: int = 17, bytes_of: str | None
     # buckets and their records in a known order, so that the same input gives the same places
     drawn = gathered.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("records", seed)).alias("k", "r"))
     drawn = drawn.select("bucket", "k", "r.record")
-    drawn = stage(drawn, "buckets")
+    path = stage_path(spark, "buckets")
+    drawn.write.option("compression", PACKED).parquet(path)
+    drawn = spark.read.schema(drawn.schema).parquet(path)
     counts = drawn.groupBy("bucket").agg(F.count("*").alias("n"))  # one row a bucket
     # written, so that its true size decides the join and records stay in place
     offsets = stage(counts.select("bucket", F.coalesce(F.sum("n").over(
@@ -50,7 +54,7 @@ def placed(records: DataFrame, shards: int, seed: int = 17, bytes_of: str | None
 
 def write_shards(shuffled: DataFrame, path: str, rows_a_file: int = 1 << 20) -> None:
     """One folder a shard, written from where the rows are; each file's rows are in slot order."""
-    shuffled.sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_a_file).partitionBy("shard").parquet(path)
+    shuffled.sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_a_file).option("compression", PACKED).partitionBy("shard").parquet(path)
 
 
 def shard_files(docs: DataFrame, shards: int, rows_a_file: int = 1 << 16) -> DataFrame:
