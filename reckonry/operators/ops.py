@@ -41,17 +41,26 @@ def seen_at_work(jobs: DataFrame, kinds=fv.MODEL_BACKED_KINDS) -> DataFrame:
     return either.where("name is not null").groupBy("kind", "what", "name").agg(F.count(F.lit(1)).alias("jobs"))
 
 
-def model_health(jobs: DataFrame, kinds=fv.MODEL_BACKED_KINDS) -> DataFrame:
-    """Per kind since the first job that recorded a model; :func:`seen_at_work` names its models and workers."""
+def model_health(jobs: DataFrame, kinds=fv.MODEL_BACKED_KINDS, names: bool = True) -> DataFrame:
+    """Per kind since the first job that recorded a model, with the ``names`` of its models and workers in order.
+
+    Names are made distinct by shuffle (:func:`seen_at_work`) before any list is built, so a list holds each name once.
+    """
     scoped = _since_first_model(jobs, kinds)
     ok = F.col("status") == "succeeded"
     bare = ok & F.col("model").isNull()
-    return scoped.groupBy("kind").agg(
+    tallies = scoped.groupBy("kind").agg(
         F.count_if(ok).alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed_jobs"),
         F.count_if(ok & F.col("model").isNotNull()).alias("model_ran"), F.count_if(bare).alias("degraded"),
         F.min(F.when(bare, F.col("created_at"))).alias("first_degraded_at"), F.max(F.when(bare, F.col("created_at"))).alias("last_degraded_at"),
-        F.count_distinct("model").alias("models"), F.count_distinct("claimed_by").alias("workers"),
         F.round(F.avg(_seconds("started_at", "finished_at")), 2).alias("avg_seconds"))
+    if not names:
+        return tallies
+    of = lambda what: F.array_sort(F.collect_list(F.when(F.col("what") == what, F.col("name"))))
+    seen = seen_at_work(jobs, kinds).groupBy("kind").agg(of("model").alias("models_seen"), of("worker").alias("workers_seen"))
+    none = F.array().cast("array<string>")
+    named = tallies.join(seen, "kind", "left").withColumns({c: F.coalesce(c, none) for c in ("models_seen", "workers_seen")})
+    return named.withColumns({"models": F.size("models_seen").cast("long"), "workers": F.size("workers_seen").cast("long")})
 
 
 def degraded_now(health: DataFrame, now: Column, hours: int = fv.DEGRADATION_WINDOW_HOURS) -> DataFrame:

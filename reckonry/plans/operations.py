@@ -55,12 +55,17 @@ _HEALTH = _JOBS + """
 
 
 @query("O2", _HEALTH + """
+    , n as (select kind, array_to_string(list_sort(list(distinct model) filter (where model is not null)), ',') as models_seen,
+              array_to_string(list_sort(list(distinct claimed_by)), ',') as workers_seen
+            from j, s where kind in ('propose_cleaning', 'generate_report', 'query_dataset') and created_at >= s.t group by 1)
     select kind, succeeded, failed_jobs, model_ran, degraded, strftime(first_degraded_at, '%Y-%m-%d %H:%M:%S') as first_degraded_at,
-           strftime(last_degraded_at, '%Y-%m-%d %H:%M:%S') as last_degraded_at, models, workers from h""")
+           strftime(last_degraded_at, '%Y-%m-%d %H:%M:%S') as last_degraded_at, models_seen, workers_seen, models, workers from h join n using (kind)""")
 def model_health(t: Tables):
     h = O.model_health(jobs(t))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return h.select("kind", "succeeded", "failed_jobs", "model_ran", "degraded", stamp("first_degraded_at"), stamp("last_degraded_at"), "models", "workers")
+    names = lambda c: F.when(F.size(c) > 0, F.concat_ws(",", c)).alias(c)
+    return h.select("kind", "succeeded", "failed_jobs", "model_ran", "degraded", stamp("first_degraded_at"), stamp("last_degraded_at"),
+                    names("models_seen"), names("workers_seen"), "models", "workers")
 
 
 @query("O2", _JOBS + """
@@ -76,7 +81,7 @@ def seen_at_work(t: Tables):
     select kind, degraded, round(degraded / (degraded + model_ran), 6) as share from h where degraded > 0 and last_degraded_at >= (select max(ts) from events) - interval 24 hours""")
 def degraded_kinds(t: Tables):
     now = t.events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    return O.degraded_now(O.model_health(jobs(t)), F.lit(now)).select("kind", "degraded", F.round("share", 6).alias("share"))
+    return O.degraded_now(O.model_health(jobs(t), names=False), F.lit(now)).select("kind", "degraded", F.round("share", 6).alias("share"))
 
 
 @query("O4", """

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from reckonry.operators import analytics as A, grid as G, ledger as E, profile as D
+from reckonry.operators import analytics as A, grid as G, ledger as E, ops as O, profile as D
 from reckonry.operators import order_statistics as Q
 from reckonry.operators.query import answer
 from reckonry.sources import versions as V
@@ -179,3 +179,16 @@ def test_medians_of_several_columns_in_one_pass(spark):
     got = {r.g: (r.x, r.y) for r in Q.exact_medians(df, ["g"], {"x": "a", "y": "b"}).collect()}
     assert got == {None: (28.5, -28.5), 1: (29.5, None), 2: (30.5, -30.5)}
     assert tuple(Q.exact_medians(df, [], {"x": "a", "y": "b"}).first()) == (29.5, -29.5)
+
+
+def test_health_names_all_models_and_workers(spark):
+    rows = [("a", "query_dataset", "succeeded", f"w{i % 300}", i, f'{{"model_used":"m{i % 2}"}}') for i in range(600)]
+    rows += [("b", "generate_report", "succeeded", None, 9, "{}"), ("c", "propose_cleaning", "failed", "w9", 9, None), ("d", "store_sync", "failed", "z", 9, "{}")]
+    jobs = spark.createDataFrame(rows, "job_id string, kind string, status string, claimed_by string, s long, result string").selectExpr(
+        "*", "timestamp_seconds(s) created_at", "timestamp_seconds(s) started_at", "timestamp_seconds(s + 2) finished_at")
+    got = {r.kind: r for r in O.model_health(jobs).collect()}
+    assert set(got) == {"query_dataset", "generate_report", "propose_cleaning"}
+    assert got["query_dataset"].models_seen == ["m0", "m1"] and got["query_dataset"].workers_seen == sorted(f"w{i}" for i in range(300))
+    assert (got["query_dataset"].models, got["query_dataset"].workers) == (2, 300)
+    assert (got["generate_report"].models_seen, got["generate_report"].workers_seen, got["generate_report"].workers) == ([], [], 0)
+    assert (got["propose_cleaning"].models_seen, got["propose_cleaning"].workers_seen, got["propose_cleaning"].models) == ([], ["w9"], 0)
