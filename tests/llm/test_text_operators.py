@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -122,6 +123,25 @@ def test_quality_measures(spark, odd_docs, no_docs):
     assert quality.kept_rows(no_docs).collect() == []
 
 
+def test_quality_works_in_little_memory():
+    texts = [" ".join(f"w{k % 97}{i}" for k in range(2000)) for i in range(1500)]
+    batch = pa.record_batch({"doc_id": range(len(texts)), "text": texts})
+    names = [r.name for r in quality.RULES]
+    tracemalloc.start()
+    try:
+        rows = sum(len(part) for part in quality.keep(iter([batch]), names, quality.RULES))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 0 and batch.nbytes > 8e6 and peak < 32 << 20
+
+
+def test_flags_between_offsets():
+    flags, offsets = np.array([1, 0, 1, 1], bool), np.array([0, 0, 3, 3, 4, 4])
+    assert quality._sum_in(flags, offsets).tolist() == [0, 2, 0, 1, 0]
+    assert quality._sum_in(flags[:0], np.zeros(3, np.int64)).tolist() == [0, 0] and quality._sum_in(flags[:0], np.zeros(1, np.int64)).tolist() == []
+
+
 def test_quality_order_changes_nothing():
     texts = pa.array(["w " * 30, "one two three four five six seven eight nine ten eleven", None, "", "# a " * 20, "x\n" * 20])
     names = [r.name for r in quality.RULES]
