@@ -8,6 +8,9 @@ from reckonry.plans.catalog import Tables, query
 from reckonry.plans.staging import checkpoint_folder
 from reckonry.streaming import streams as ST
 
+#: A micro-batch costs the same time however little it brings, so the files of a long history grow and not their number.
+FILES = 100
+
 
 def _path(t: Tables) -> str:
     return f"{checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
@@ -68,11 +71,12 @@ def stream_degradation(t: Tables):
 @query("ST1 ST2 E10", """
     select 'user:' || user_id as source_ref, max(event_id) as reading, max(event_id // 1000) as sync from events group by 1""")
 def stream_ledger_sync(t: Tables):
-    """Events as ledger readings per user, a thousand ids to a file; files arrive in any order."""
+    """Events as ledger readings per user and sync of a thousand ids, a sync to a file while they are few, neighbouring ones in a file
+    beyond; files arrive in any order."""
     readings = t.events.select(
         F.concat(F.lit("user:"), "user_id").alias("source_ref"), F.col("event_id").alias("reading"), F.expr("event_id div 1000").alias("sync"))
     files = f"{_path(t)}/in"
-    readings.groupBy("source_ref", "sync").agg(F.max("reading").alias("reading")).repartitionByRange(F.col("sync")).sortWithinPartitions(
-        "sync").write.partitionBy("sync").parquet(files)
+    readings.groupBy("source_ref", "sync").agg(F.max("reading").alias("reading")).select("source_ref", "reading", "sync").repartitionByRange(
+        FILES, F.col("sync")).write.parquet(files)
     stream = t.spark.readStream.schema("source_ref string, reading long, sync long").option("maxFilesPerTrigger", 2).parquet(files)
     return ST.sync_ledger(stream, _path(t), "sync")

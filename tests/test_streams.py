@@ -1,10 +1,13 @@
 """Days drained over several batches and restarts; late rows are kept and counted."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from reckonry.plans import streams as plans
+from reckonry.plans.catalog import REGISTRY
 from reckonry.streaming import streams as ST
 
 SCHEMA = "ts timestamp, who string, cents long"
@@ -44,3 +47,14 @@ def test_months_have_no_window(spark):
         ST.tumbling_periods(spark.createDataFrame([], SCHEMA), "ts", "monthly", [], F.count(F.lit(1)))
     with pytest.raises(ValueError):
         ST.period_totals(spark, "/tmp/no-such-folder-here", "yearly", [], ["cents"])
+
+
+def test_a_long_history_of_syncs_takes_few_batches(spark, tmp_path, monkeypatch):
+    """One event to a sync, 301 syncs, dealt to three users; 151 batches when each sync had a file of its own."""
+    spark.range(301).selectExpr("id * 1000 as event_id", "id % 3 as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    paths = iter((f"{tmp_path}/files", f"{tmp_path}/ledger"))
+    monkeypatch.setattr(plans, "_path", lambda t: next(paths))
+    got = REGISTRY["stream_ledger_sync"].run(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("user:0", 300_000, 300), ("user:1", 298_000, 298), ("user:2", 299_000, 299)]
+    batches = [name for name in os.listdir(f"{tmp_path}/ledger/readings") if name.startswith("batch=")]
+    assert 10 < len(batches) <= plans.FILES / 2
