@@ -40,6 +40,11 @@ def redaction_report(df: DataFrame, column: str) -> DataFrame:
     return totals.select(F.inline(kinds))
 
 
+def words_of(c: Column, word: str) -> Column:
+    """The words of a text with one space between; a class of what to keep is read several times as fast as one of what to leave out."""
+    return F.array_join(F.regexp_extract_all(c, F.lit(word), F.lit(0)), " ")
+
+
 def statement_line(c: Column) -> Column:
     """The part of a bank line that names the merchant."""
     line = F.regexp_replace(token(c), "(?U)" + fv.PAYMENT_PREFIX, "")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reckonry.functions import fixed_values as fv
+from reckonry.functions.text import words_of
 from reckonry.operators import clean as C
 from reckonry.operators import rules as K
 from reckonry.plans.catalog import Tables, query
@@ -93,8 +94,7 @@ def rules_on_part_names(t: Tables):
     select {_rules_sql('line')} as rule_no, count(*) as n from r group by 1""")
 def rules_on_documents(t: Tables):
     """Whole texts through every rule pattern."""
-    text = F.regexp_replace(F.lower(F.regexp_replace("text", "[^A-Za-z0-9& ]+", " ")), " +", " ")
-    docs = t.spread("documents").select(text.alias("line"))
+    docs = t.spread("documents").select(F.lower(words_of(F.col("text"), "[A-Za-z0-9&]+")).alias("line"))
     return docs.groupBy(K.rule_number(F.col("line")).alias("rule_no")).agg(F.count(F.lit(1)).alias("n"))
 
 
