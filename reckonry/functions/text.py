@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reckonry.functions import fixed_values as fv
-from reckonry.functions.scalars import token
+from reckonry.functions.scalars import NON_ASCII, bind, token
 
 
 def redact(c: Column) -> Column:
@@ -45,13 +45,27 @@ def words_of(c: Column, word: str) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit(word), F.lit(0)), " ")
 
 
+#: Matches where one of the noise patterns does, each of which begins at a word boundary.
+_ANY_NOISE = r"\b(?:" + "|".join(p.removeprefix(r"\b") for p in fv.LINE_NOISE) + ")"
+
+
 def statement_line(c: Column) -> Column:
-    """The part of a bank line that names the merchant."""
-    line = F.regexp_replace(token(c), "(?U)" + fv.PAYMENT_PREFIX, "")
-    for pattern in fv.LINE_NOISE:
-        line = F.regexp_replace(line, "(?U)" + pattern, " ")
-    line = F.regexp_replace(line, r"[^a-z0-9& ]+", " ")
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
+    """The part of a bank line that names the merchant.
+
+    One pattern finds lines without noise, which the others leave alone. Patterns read Unicode classes only
+    where a line has characters beyond ASCII; on ASCII both kinds of classes are the same.
+    """
+    def quiet(line: Column, classes: str) -> Column:
+        clean = line
+        for pattern in fv.LINE_NOISE:
+            clean = F.regexp_replace(clean, classes + pattern, " ")
+        return F.when(line.rlike(classes + _ANY_NOISE), clean).otherwise(line)
+
+    def named(text: Column, classes: str) -> Column:
+        return bind(F.regexp_replace(text, classes + fv.PAYMENT_PREFIX, ""), lambda line: quiet(line, classes))
+
+    line = bind(token(c), lambda text: F.when(text.rlike(NON_ASCII), named(text, "(?U)")).otherwise(named(text, "")))
+    return words_of(line, "[a-z0-9&]+")
 
 
 def question_signature(c: Column) -> Column:
