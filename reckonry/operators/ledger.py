@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reckonry.functions import fixed_values as fv
-from reckonry.functions.scalars import is_null_token, normalize_text, parse_date, parse_iso_date, to_decimal
+from reckonry.functions.scalars import bind, is_null_token, normalize_text, parse_date, parse_iso_date, to_decimal
 from reckonry.plans.skew import lookup
 
 LEDGER = (
@@ -42,40 +41,44 @@ def _generic(kind: Column, confidence: str) -> Column:
 
 
 def _any_word(text: Column, words) -> Column:
-    return text.rlike("|".join(re.escape(w).replace(r"\ ", " ") for w in words))
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def account_class(account: Column, description: Column, hint: Column) -> Column:
     """struct<category, kind, classified_by>: ordered keywords; the hint decides the kind."""
     text = F.trim(F.lower(F.concat_ws(" ", F.coalesce(account, F.lit("")), F.coalesce(description, F.lit("")))))
-    word = F
-    for category, words in fv.LEDGER_KEYWORDS:
-        word = word.when(_any_word(text, words), category)
     kinds = F.create_map(*[F.lit(x) for kv in fv.LEDGER_KINDS.items() for x in kv])
-    kind = F.try_element_at(kinds, word)
-    matched = F.struct(word.alias("category"), kind.alias("kind"), F.lit("matched").alias("classified_by"))
     fallback_kind = F.coalesce(hint, F.lit("expense"))
     income = F.struct(
         F.lit("other_income").alias("category"), F.lit("revenue").alias("kind"), F.lit("weak").alias("classified_by"))
-    return (
-        F.when(word.isNotNull() & (hint.isNull() | (hint == kind)), matched)
-        .when(word.isNotNull(), _generic(hint, "weak"))
-        .when(_any_word(text, fv.GENERIC_INCOME_WORDS) & ~hint.eqNullSafe(F.lit("expense")), income)
-        .when(_any_word(text, fv.GENERIC_EXPENSE_WORDS), _generic(fallback_kind, "weak"))
-        .otherwise(_generic(fallback_kind, "unmatched")))
+
+    def first_word(text: Column) -> Column:
+        word = F
+        for category, words in fv.LEDGER_KEYWORDS:
+            word = word.when(_any_word(text, words), category)
+        return bind(word, lambda category: placed(text, category))
+
+    def placed(text: Column, word: Column) -> Column:
+        kind = F.try_element_at(kinds, word)
+        matched = F.struct(word.alias("category"), kind.alias("kind"), F.lit("matched").alias("classified_by"))
+        return (
+            F.when(word.isNotNull() & (hint.isNull() | (hint == kind)), matched)
+            .when(word.isNotNull(), _generic(hint, "weak"))
+            .when(_any_word(text, fv.GENERIC_INCOME_WORDS) & ~hint.eqNullSafe(F.lit("expense")), income)
+            .when(_any_word(text, fv.GENERIC_EXPENSE_WORDS), _generic(fallback_kind, "weak"))
+            .otherwise(_generic(fallback_kind, "unmatched")))
+
+    return bind(text, first_word)
 
 
 def classify(df: DataFrame, account: Column, description: Column, hint: Column) -> DataFrame:
     """Adds category, kind and classified_by.
 
-    The keyword list runs once per distinct (account, description, hint); rows
-    read the answer back through a join that spreads busy accounts.
+    Keywords are plain words, looked for in each row: reading rows once costs far less than making them a second time
+    for their distinct texts and joining the answers back.
     """
-    keyed = df.withColumns({
-        "__a": F.coalesce(account, F.lit("")), "__d": F.coalesce(description, F.lit("")), "__h": F.coalesce(hint, F.lit(""))})
-    kinds = keyed.select("__a", "__d", "__h").distinct()
-    decided = kinds.withColumn("__c", account_class(F.col("__a"), F.col("__d"), F.nullif(F.col("__h"), F.lit(""))))
-    return lookup(keyed, decided, ["__a", "__d", "__h"], "inner").select(*df.columns, "__c.category", "__c.kind", "__c.classified_by")
+    decided = df.withColumn("__c", account_class(account, description, F.nullif(F.coalesce(hint, F.lit("")), F.lit(""))))
+    return decided.select(*df.columns, "__c.category", "__c.kind", "__c.classified_by")
 
 
 # ---------------------------------------------------------------- sheets
@@ -213,35 +216,36 @@ def entries_from_documents(documents: DataFrame, currency: str = "USD") -> tuple
         _name_of(doc["DepartmentRef"]).alias("location"), doc["Line"].alias("lines"))
 
     def usable(line: Column) -> Column:
-        amount = to_decimal(line["Amount"])
-        return ~F.coalesce(line["DetailType"], F.lit("")).isin(*fv.SUMMARY_LINE_TYPES) & amount.isNotNull() & (amount != 0)
+        return ~F.coalesce(line["DetailType"], F.lit("")).isin(*fv.SUMMARY_LINE_TYPES) & F.coalesce(to_decimal(line["Amount"]) != 0, F.lit(False))
 
     indexed = F.transform(F.coalesce("lines", F.array()), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
     kept = F.filter(indexed, lambda s: usable(s["line"]))
     head = head.withColumn("kept", F.when(F.col("occurred_on").isNotNull(), kept).otherwise(F.slice(kept, 1, 0)))
 
-    line = F.col("l.line")
+    # A document makes an entry for each line kept; one without such lines makes one of its total, as a null line.
+    total_only = F.col("occurred_on").isNotNull() & (F.coalesce("total", F.lit(0)) != 0)
+    one = F.array(F.lit(None).cast(head.schema["kept"].dataType.elementType))
+    each = head.withColumn("l", F.explode(F.when(F.size("kept") > 0, F.col("kept")).when(total_only, one)))
+    line, whole = F.col("l.line"), F.col("l").isNull()
     detail = lambda f: F.coalesce(*[line[kind][f] for kind in FEED_DETAILS if f in FEED_DETAILS[kind]])
     account, product = F.trim(detail("AccountRef")["name"]), F.trim(detail("ItemRef")["name"])
     account, product = F.coalesce(account, F.lit("")), F.coalesce(product, F.lit(""))
     stock = (F.col("direction") == "expense") & line["DetailType"].isin(*fv.ITEM_LINE_TYPES)
-    itemised = head.withColumn("l", F.explode("kept")).select(
+    words = F.coalesce(line["Description"], F.lit(""))
+
+    def either(of_total: Column, of_line: Column) -> Column:
+        return F.when(whole, of_total).otherwise(of_line)
+
+    lines = each.select(
         "occurred_on", "currency", "counterparty", "location",
-        (to_decimal(line["Amount"]) * F.col("sign")).alias("amount"),
-        F.coalesce(F.nullif(account, F.lit("")), product).alias("account"), product.alias("product"),
-        F.coalesce(line["Description"], F.lit("")).alias("description"),
+        (either(F.col("total"), to_decimal(line["Amount"])) * F.col("sign")).alias("amount"),
+        either(F.col("entity"), F.coalesce(F.nullif(account, F.lit("")), product)).alias("account"),
+        product.alias("product"),
+        either(F.trim(F.concat_ws(" ", "entity", "doc_number")), words).alias("description"),
         to_decimal(detail("Qty"), 4).alias("quantity"),
         F.when(stock, "cogs").otherwise(F.col("direction")).alias("__hint"),
-        F.concat_ws(":", F.lit("qb"), "entity", "doc_id", F.coalesce(line["Id"], F.col("l.i").cast("string"))).alias("source_ref"),
-        F.coalesce(line["Description"], F.lit("")).alias("__words"))
-    whole = head.where((F.size("kept") == 0) & F.col("occurred_on").isNotNull() & (F.coalesce("total", F.lit(0)) != 0)).select(
-        "occurred_on", "currency", "counterparty", "location", (F.col("total") * F.col("sign")).alias("amount"),
-        F.col("entity").alias("account"), F.lit("").alias("product"),
-        F.trim(F.concat_ws(" ", "entity", "doc_number")).alias("description"),
-        F.lit(None).cast("decimal(18,4)").alias("quantity"), F.col("direction").alias("__hint"),
-        F.concat_ws(":", F.lit("qb"), "entity", "doc_id", F.lit("total")).alias("source_ref"),
-        F.col("doc_number").alias("__words"))
-    lines = itemised.unionByName(whole)
+        F.concat_ws(":", F.lit("qb"), "entity", "doc_id", either(F.lit("total"), F.coalesce(line["Id"], F.col("l.i").cast("string")))).alias("source_ref"),
+        either(F.col("doc_number"), words).alias("__words"))
     entries = to_ledger(classify(lines, F.col("account"), F.col("__words"), F.col("__hint")))
 
     empty = (F.size("kept") == 0) & (F.col("occurred_on").isNull() | (F.coalesce("total", F.lit(0)) == 0))
